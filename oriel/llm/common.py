@@ -64,3 +64,10 @@ def keep_columns(df: DataFrame, *reserved: str) -> DataFrame:
     """``df`` without columns whose names an operator's own columns take (names compare without case)."""
     taken = {name.lower() for name in reserved}
     return df.drop(*[c for c in df.columns if c.lower() in taken])
+
+
+def with_plain_names(docs: DataFrame, operator, *used: str) -> DataFrame:
+    """``operator`` on ``docs`` with all columns but ``used`` renamed out of its way; returns the columns of ``docs``."""
+    other = {c: f"_x{i}" for i, c in enumerate(docs.columns) if c not in used}
+    out = operator(docs.toDF(*[other.get(c, c) for c in docs.columns]))
+    return out.select(*[F.col(other.get(c, c)).alias(c) for c in docs.columns])

@@ -141,7 +141,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, mode:
             if writer is None:
                 system, base = file_system(path)
                 system.create_dir(base, recursive=True)
-                writer = PlaneWriter(system.open_output_stream(f"{base}/{name}"), mode, block)
+                writer = PlaneWriter(system.open_output_stream(f"{base}/{name}", compression=None), mode, block)
             counts, at = [], writer.total
             for row, rows in slices(column):
                 ids, n = bpe.encode(column.slice(row, rows))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oriel.llm import embeddings, idfile, mixing, sharding, simhash, suffixes, tiling, tokens, toxicity
+from oriel.llm import embeddings, idfile, mixing, sharding, simhash, suffixes, tiling, tokens, toxicity, warc
 from oriel.session import table, workers_see_package
 
 
@@ -30,6 +30,10 @@ def op2_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(docs)
 
 
+def op3_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.roundtrip(table(spark, sf_dir, "pages"))
+
+
 def op4_benchmark_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -62,6 +66,7 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_ids": op1_token_ids,
     "op2_jump_shards": op2_jump_shards,
+    "op3_warc_normaliser": op3_warc_normaliser,
     "op4_benchmark_tiles": op4_benchmark_tiles,
     "op5_near_vectors": op5_near_vectors,
     "op6_token_counts": op6_token_counts,
