@@ -31,7 +31,8 @@ def op2_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.roundtrip(table(spark, sf_dir, "pages"))
+    out = warc.roundtrip(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op4_benchmark_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
