@@ -100,7 +100,7 @@ def osa(a: str, b: str, most: int = 2) -> int:
 
 def _pairwise(f, kind: T.DataType):
     def call(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([f(x, y) if x is not None and y is not None else None for x, y in zip(a, b, strict=True)], dtype="object")
+        return pd.Series([f(x, y) if isinstance(x, str) and isinstance(y, str) else None for x, y in zip(a, b, strict=True)], dtype="object")
 
     call.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
     return F.pandas_udf(call, kind)

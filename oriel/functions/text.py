@@ -80,7 +80,7 @@ def normalise(text: Column, profile: str = "standard") -> Column:
     @F.pandas_udf(T.StringType())
     def unicode_form(s: pd.Series) -> pd.Series:
         forms = {v: normal_form(v, p) for v in s.dropna().unique()}
-        return s.map(forms)
+        return pd.Series([forms.get(v) if isinstance(v, str) else None for v in s], dtype="object")
 
     plain = text
     if p.spaces:
@@ -102,7 +102,7 @@ def fold(text: str) -> str:
 @F.pandas_udf(T.StringType())
 def fold_for_match(s: pd.Series) -> pd.Series:
     """Case and accents folded."""
-    return s.map({v: fold(v) for v in s.dropna().unique()})
+    return pd.Series([fold(v) if isinstance(v, str) else None for v in s], dtype="object")
 
 
 FOLDED = T.StructType([T.StructField("text", T.StringType()), T.StructField("offsets", T.ArrayType(T.IntegerType()))])
@@ -113,13 +113,14 @@ def fold_with_offsets(s: pd.Series) -> pd.DataFrame:
     """Folded text, and for each of its characters the place of the original one."""
     out = []
     for v in s:
+        v = v if isinstance(v, str) else None
         folded, at = [], []
         for i, c in enumerate(v or ""):
             f = fold(c)
             folded.append(f)
             at += [i] * len(f)
         out.append(("".join(folded) if v is not None else None, at))
-    return pd.DataFrame(out, columns=["text", "offsets"])
+    return pd.DataFrame({"text": pd.Series([o[0] for o in out], dtype="object"), "offsets": pd.Series([o[1] for o in out], dtype="object")})
 
 
 def aligned(text: str) -> tuple[str, list[int], list[int]]:

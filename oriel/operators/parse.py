@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from oriel.functions import text
 from oriel.sources.graph import EntityGraph
@@ -11,6 +16,7 @@ from oriel.sources.graph import EntityGraph
 DENY = ("a", "an", "and", "de", "der", "die", "et", "in", "is", "island", "islands", "la", "le", "of", "on", "or", "the", "to", "und", "with")
 #: Words of a gazetteer name at most; longer names aren't looked for.
 MOST_WORDS = 6
+WORD = re.compile(r"[\w#'-]+")
 
 
 def gazetteer(g: EntityGraph, codes: bool = False) -> DataFrame:
@@ -22,45 +28,65 @@ def gazetteer(g: EntityGraph, codes: bool = False) -> DataFrame:
     return out.withColumn("n_words", F.size(F.split("norm", " "))).where((F.col("n_words") <= MOST_WORDS) & (F.col("norm") != ""))
 
 
-def token_spans(column: Column) -> Column:
-    """Array of (word, start): runs of letters, digits, underscores and joining marks, at code point offsets."""
-    pieces = F.expr(r"regexp_extract_all(t, '[\\p{L}\\p{N}_#\'-]+|[^\\p{L}\\p{N}_#\'-]+', 0)")
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<word:string,start:int>>").alias("out"))
-
-    def step(s: Column, p: Column) -> Column:
-        word = p.rlike(r"[\p{L}\p{N}_]")
-        return F.struct((s["at"] + F.length(p)).alias("at"), F.when(word, F.array_append(s["out"], F.struct(p.alias("word"), s["at"].alias("start")))).otherwise(s["out"]).alias("out"))
-
-    return F.aggregate(pieces, state, step, lambda s: s["out"])
-
-
 def mentions(g: EntityGraph, docs: DataFrame, key: str = "doc_id", column: str = "text", patterns: DataFrame | None = None) -> DataFrame:
-    """(key, start, end, surface, norm, ids, n_words): all spans of words that equal a gazetteer name.
+    """(key, start, end, surface, norm, ids, n_words, code_shaped): all runs of words that equal a gazetteer name.
 
-    Every run of up to ``MOST_WORDS`` words is a join key, so the gazetteer may be of any size.
+    Offsets are half-open code points. Words are runs of word characters, marks that join them and number
+    signs; those of a run are apart by white space alone. Runs are as long as the longest name at most, and each
+    is a join key, so the gazetteer may be of any size.
     """
     patterns = gazetteer(g) if patterns is None else patterns
-    words = docs.select(key, F.col(column).alias("t")).where("t is not null").withColumn("w", token_spans(F.col("t")))
-    each = words.select(key, "t", "w", F.posexplode("w").alias("i", "x")).select(key, "t", "i", "x", "w")
-    runs = each.withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.lit(MOST_WORDS), F.size("w") - F.col("i")))))
-    part = F.slice("w", F.col("i") + 1, F.col("n"))
-    last = F.element_at(part, -1)
-    runs = runs.select(key, "i", "n", F.col("x.start").alias("start"), (last["start"] + F.length(last["word"])).alias("end"), F.lower(F.array_join(F.transform(part, lambda w: w["word"]), " ")).alias("norm"), "t")
-    # words of a run must be apart by white space alone
-    surface = F.substring("t", F.col("start") + 1, F.col("end") - F.col("start"))
-    runs = runs.withColumn("surface", surface).where(text.squeeze(F.col("surface")) == F.col("norm"))
-    return runs.drop("t").join(patterns, "norm").select(key, "i", "start", "end", "surface", "norm", "ids", "n_words", "code_shaped")
+    most = patterns.agg(F.max("n_words")).first()[0] or 1
+    kind = docs.schema[key].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, start, end, surface, norm = [], [], [], [], []
+
+            def out(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int32())), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(surface, pa.string()), pa.array(norm, pa.string())], names=["k", "start", "end", "surface", "norm"])
+
+            for r, t in enumerate(batch.column(1).to_pylist()):
+                if not t:
+                    continue
+                spans = [m.span() for m in WORD.finditer(t)]
+                for i, (a, b) in enumerate(spans):
+                    for n in range(1, most + 1):
+                        if n > 1:
+                            if i + n > len(spans) or not t[spans[i + n - 2][1] : spans[i + n - 1][0]].isspace():
+                                break
+                            b = spans[i + n - 1][1]
+                        row.append(r), start.append(a), end.append(b), surface.append(t[a:b])
+                        norm.append(t[a:b].lower() if n == 1 else " ".join(t[a:b].lower().split()))
+                if len(row) > 100_000:
+                    yield out()
+                    row, start, end, surface, norm = [], [], [], [], []
+            if row:
+                yield out()
+
+    schema = T.StructType([T.StructField("k", kind), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("surface", T.StringType()), T.StructField("norm", T.StringType())])
+    runs = docs.select(F.col(key).alias("k"), F.col(column).alias("t")).mapInArrow(run, schema)
+    return runs.join(patterns, "norm").select(F.col("k").alias(key), "start", "end", "surface", "norm", "ids", "n_words", "code_shaped")
 
 
 def leftmost_longest(spans: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Spans without overlaps: from the left, the longest at each place."""
-    longest = F.row_number().over(Window.partitionBy(key, "start").orderBy(F.col("end").desc()))
-    rows = spans.withColumn("_n", longest).where("_n = 1").drop("_n")
-    listed = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", "end", "surface", "norm", "ids", "n_words", "code_shaped"))).alias("s"))
-    empty = F.slice("s", 1, 0)
-    state = F.struct(F.lit(-1).alias("free"), empty.alias("out"))
-    kept = F.aggregate("s", state, lambda a, x: F.when(x["start"] >= a["free"], F.struct(x["end"].alias("free"), F.array_append(a["out"], x).alias("out"))).otherwise(a), lambda a: a["out"])
-    return listed.select(key, F.explode(kept).alias("x")).select(key, "x.*")
+    """Spans without overlaps: from the left, the longest at each place. One pass over sorted partitions."""
+    ordered = spans.repartition(key).sortWithinPartitions(F.col(key), F.col("start"), F.col("end").desc())
+    place = [ordered.columns.index(c) for c in (key, "start", "end")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, free = object(), 0
+        for batch in batches:
+            keep = []
+            for k, a, b in zip(*(batch.column(i).to_pylist() for i in place), strict=True):
+                if k != now:
+                    now, free = k, 0
+                keep.append(a >= free)
+                if a >= free:
+                    free = b
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return ordered.mapInArrow(run, ordered.schema)
 
 
 def link(spans: DataFrame, include_nil: bool = False) -> DataFrame:

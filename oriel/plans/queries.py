@@ -11,7 +11,7 @@ from oriel.functions import scoring, text
 from oriel.operators import closure, constraints, etl, linking, lookup, metrics, parse, suggest
 from oriel.operators import resolve as cascade
 from oriel.plans.oracle_graph import squeeze, sql
-from oriel.session import table, workers_see_package
+from oriel.session import materialise, table, workers_see_package
 from oriel.sources import graph as graphs
 from oriel.sources.graph import EntityGraph
 
@@ -30,8 +30,16 @@ def query(oracle: str | None = None):
     return keep
 
 
+_stored: dict[tuple[str, str], EntityGraph] = {}
+
+
 def graph(spark: SparkSession, sf_dir: str) -> EntityGraph:
-    return graphs.from_warehouse(spark, sf_dir)
+    """The graph of a data folder, derived once per application and stored as tables in the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored:
+        _stored.clear()
+        _stored[key] = graphs.from_warehouse(spark, sf_dir).map(lambda name, t: materialise(t, f"graph-{name}"))
+    return _stored[key]
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +116,7 @@ def j3_name_lookup(spark, d):
 
 FTS = (
     "docs AS (SELECT DISTINCT entity_id, value_norm FROM names)",
-    "toks AS (SELECT entity_id, value_norm, list_filter(regexp_split_to_array(entity_id || ' ' || value_norm, '[^a-z0-9]+'), lambda x: x <> '') AS w FROM docs)",
+    "toks AS (SELECT entity_id, value_norm, list_filter(regexp_split_to_array(lower(entity_id || ' ' || value_norm), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM docs)",
     "post AS (SELECT entity_id, value_norm, len(w) AS dl, tok, count(*) AS tf FROM (SELECT entity_id, value_norm, w, unnest(w) AS tok FROM toks) GROUP BY ALL)",
     "stat AS (SELECT count(*) AS nd, avg(len(w)) AS al FROM toks)",
     "idf AS (SELECT tok, greatest(1e-6, ln((nd - df + 0.5) / (df + 0.5))) AS idf, al FROM (SELECT tok, count(*) AS df FROM post GROUP BY tok), stat)",
@@ -221,7 +229,7 @@ def t1_normalise(spark, d):
     return asked(spark, d).select("qid", text.normalise(F.col("text"), "standard").alias("norm"), text.normalise(F.col("text"), "org").alias("stripped"))
 
 
-SHAPES = """SELECT DISTINCT t AS text, length(trim(t)) <= 20 AND lower(trim(t)) IN ('unknown', 'none', 'null', 'test', '0', '000', '999') AS sentinel,
+SHAPES = """SELECT DISTINCT t AS text, length(trim(t)) <= 20 AND lower(trim(t)) IN ('unknown', 'none', 'null', 'test', '0', '000', '001', '999', '998') AS sentinel,
 CASE WHEN regexp_full_match(t, '[A-Za-z]{2,3}') THEN 'alpha' WHEN regexp_full_match(t, '[0-9]{3}') THEN 'numeric' WHEN regexp_full_match(lower(t), '(wikidata:)?q[0-9]+') THEN 'wikidata' WHEN regexp_full_match(t, '[a-z]+/[A-Za-z0-9_-]+') THEN 'dcid' END AS shape,
 NOT regexp_full_match(t, '[A-Za-z]{1,3}') OR regexp_full_match(t, '[A-Z]{2,3}') AS passes
 FROM (SELECT value AS t FROM codes UNION ALL SELECT value_norm FROM codes UNION ALL SELECT text FROM asked UNION ALL SELECT entity_id FROM entities WHERE entity_type LIKE 'geo%') WHERE t = trim(t)"""
@@ -259,7 +267,7 @@ def t20_pivot(spark, d):
     return lookup.iso_pivot(graph(spark, d))
 
 
-@query("SELECT c_custkey AS id, substr(c_name, 1, at - 1) || substr(c_name, at + 1) AS dropped, substr(c_name, 1, at - 1) || substr(c_name, at + 1, 1) || substr(c_name, at, 1) || substr(c_name, at + 2) AS swapped, substr(c_name, 1, at) || ' ' || substr(c_name, at + 1) AS spaced FROM (SELECT *, c_custkey % (length(c_name) - 1) + 1 AS at FROM customer)")
+@query("SELECT c_custkey AS id, substr(c_name, 1, pos - 1) || substr(c_name, pos + 1) AS dropped, substr(c_name, 1, pos - 1) || substr(c_name, pos + 1, 1) || substr(c_name, pos, 1) || substr(c_name, pos + 2) AS swapped, substr(c_name, 1, pos) || ' ' || substr(c_name, pos + 1) AS spaced FROM (SELECT *, c_custkey % (length(c_name) - 1) + 1 AS pos FROM customer)")
 def t23_corruptions(spark, d):
     c, k = F.col("c_name"), F.col("c_custkey")
     return table(spark, d, "customer").select(k.alias("id"), text.corrupt(c, "delete", k).alias("dropped"), text.corrupt(c, "transpose", k).alias("swapped"), text.corrupt(c, "space", k).alias("spaced"))
@@ -561,7 +569,7 @@ def a3_spelling_terms(spark, d):
     return etl.spelling_terms(graph(spark, d))
 
 
-@query(sql("SELECT (SELECT count(*) FROM entities) AS entities, (SELECT count(*) FROM names) AS names, (SELECT count(*) FROM codes) AS codes, (SELECT count(*) FROM relations) AS relations, (SELECT count(DISTINCT entity_id) FROM names) / entities AS names_coverage, (SELECT count(DISTINCT entity_id) FROM codes) / entities AS codes_coverage, relations / entities AS relations_density"))
+@query(sql("SELECT *, named / entities AS names_coverage, coded / entities AS codes_coverage, relations / entities AS relations_density FROM (SELECT (SELECT count(*) FROM entities) AS entities, (SELECT count(*) FROM names) AS names, (SELECT count(*) FROM codes) AS codes, (SELECT count(*) FROM relations) AS relations, (SELECT count(DISTINCT entity_id) FROM names) AS named, (SELECT count(DISTINCT entity_id) FROM codes) AS coded)").replace("SELECT *, named", "SELECT entities, names, codes, relations, named"))
 def a5_quality(spark, d):
     return etl.quality(graph(spark, d))
 
@@ -598,7 +606,7 @@ def a14_prominence(spark, d):
     return etl.prominence(table(spark, d, "part").selectExpr("p_partkey as entity_id", "p_brand as bucket", "case when p_partkey % 3 > 0 then cast(p_size as bigint) end as sitelinks", "p_retailprice as population"))
 
 
-@query(sql("""SELECT a AS entity_id, CASE WHEN max(t) OVER w = min(t) OVER w THEN 0.5 ELSE round((t - min(t) OVER w) / (max(t) OVER w - min(t) OVER w), 9) END AS prominence FROM (SELECT a, entity_type, sum(prominence) AS t FROM (SELECT DISTINCT up.entity_id, a FROM up WHERE depth > 0) x JOIN entities m ON m.entity_id = x.entity_id AND m.prominence IS NOT NULL JOIN entities c ON c.entity_id = a GROUP BY a, entity_type) y(a, k, t) WINDOW w AS (PARTITION BY k)""".replace("SELECT a, entity_type, sum", "SELECT a, c.entity_type, sum").replace("GROUP BY a, entity_type)", "GROUP BY a, c.entity_type)"), UP.replace("WHERE entity_type <> 'geo.country' ", "").replace("depth < 5", "depth < 4")))
+@query(sql("""SELECT a AS entity_id, CASE WHEN max(t) OVER w = min(t) OVER w THEN 0.5 ELSE round((t - min(t) OVER w) / (max(t) OVER w - min(t) OVER w), 9) END AS prominence FROM (SELECT a, entity_type, sum(prominence) AS t FROM (SELECT DISTINCT up.entity_id, a FROM up WHERE depth > 0) x JOIN entities m ON m.entity_id = x.entity_id AND m.prominence IS NOT NULL JOIN entities c ON c.entity_id = a GROUP BY a, entity_type) y(a, k, t) WINDOW w AS (PARTITION BY k)""".replace("SELECT a, entity_type, sum(prominence)", "SELECT a, c.entity_type, sum(m.prominence)").replace("GROUP BY a, entity_type)", "GROUP BY a, c.entity_type)"), UP.replace("WHERE entity_type <> 'geo.country' ", "").replace("depth < 5", "depth < 4")))
 def a15_containment_prominence(spark, d):
     g = graph(spark, d)
     out = etl.containment_prominence(g, closure.ancestors(g, g.entities.select("entity_id"), 4))
