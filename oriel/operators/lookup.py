@@ -132,17 +132,25 @@ def deletes(text: Column, edits: int = MOST_EDITS, prefix: int = PREFIX) -> Colu
     return every if edits < 2 else F.array_distinct(F.concat(every, less(F.array_distinct(one))))
 
 
-def edit_join(terms: DataFrame, queries: DataFrame, text: str = "norm", edits: int = MOST_EDITS, exact_distance=None) -> DataFrame:
+def edit_join(terms: DataFrame, queries: DataFrame, text: str = "norm", edits: int = MOST_EDITS, exact_distance=None, prefix: int = PREFIX) -> DataFrame:
     """(qid, term, distance) of the closest terms within ``edits`` edits, by symmetric deletes.
 
     Both sides are reduced to deletion strings of their first characters and joined on those; pairs are then
-    checked. Terms: distinct ``term``. By default the distance is Levenshtein's, which Spark computes.
+    checked. Terms: distinct ``term``. By default the distance is Levenshtein's, which Spark computes. A longer
+    ``prefix`` makes more keys of a string and fewer false pairs: right where many names begin alike.
     """
-    t = terms.select("term", F.explode(deletes(F.col("term"), edits)).alias("key"))
-    q = queries.select("qid", F.col(text).alias("q"), F.explode(deletes(F.col(text), edits)).alias("key"))
+    t = terms.select("term", F.explode(deletes(F.col("term"), edits, prefix)).alias("key"))
+    q = queries.select("qid", F.col(text).alias("q"), F.explode(deletes(F.col(text), edits, prefix)).alias("key"))
     pairs = q.join(t, "key").select("qid", "q", "term").distinct()
-    distance = F.levenshtein("q", "term", edits) if exact_distance is None else exact_distance(F.col("q"), F.col("term"))
-    close = pairs.withColumn("distance", distance).where("distance >= 0")
+    pairs = pairs.withColumn("distance", F.levenshtein("q", "term", edits if exact_distance is None else 2 * edits)).where("distance >= 0")
+    if exact_distance is None:
+        close = pairs
+    else:
+        # a transposition is two of Levenshtein's edits: it matters from distance 2 on, and at 2 for anagrams alone
+        letters = lambda c: F.array_sort(F.split(c, ""))
+        unsure = (F.col("distance") > 2) | ((F.col("distance") == 2) & (letters("q") == letters("term")))
+        checked = exact_distance(F.when(unsure, F.col("q")), F.when(unsure, F.col("term")))
+        close = pairs.withColumn("distance", F.when(unsure, checked).otherwise(F.col("distance"))).where(f"distance between 0 and {edits}")
     best = F.min("distance").over(Window.partitionBy("qid"))
     return close.withColumn("best", best).where("distance = best").select("qid", "term", "distance")
 

@@ -41,11 +41,12 @@ class Pack:
     early: float = 0.9
     calibrated: bool = False
     budget: int = 20
+    prefix: int = 7
     snapshots: tuple[str, ...] = field(default=())
 
 
 GEO = Pack("geo", ("geo.",), ("wikidata", "iso2", "iso3", "iso_numeric"), {"canonical": 1.0, "alias": 0.95, "endonym": 0.95, "exonym": 0.95}, gated=True, stops_early=True, gap=0.07, early=0.75, calibrated=True)
-ORG = Pack("org", ("org.",), ("wikidata",), {"canonical": 1.0, "legal": 0.98, "short": 0.95}, first_kind_only=True, acronyms=True, bm25_steps=(0.8, 0.7, 0.6, 0.5, 0.5), least_fts=3, rerank=(0.4, 0.6))
+ORG = Pack("org", ("org.",), ("wikidata",), {"canonical": 1.0, "legal": 0.98, "short": 0.95}, first_kind_only=True, acronyms=True, bm25_steps=(0.8, 0.7, 0.6, 0.5, 0.5), least_fts=3, rerank=(0.4, 0.6), prefix=24)
 CUSTOM = Pack("custom", ("custom",), (), {"canonical": 1.0, "alias": 0.95}, rerank=(0.5, 0.5))
 PACKS = {p.name: p for p in (GEO, ORG, CUSTOM)}
 
@@ -120,7 +121,7 @@ def corrections(g: EntityGraph, q: DataFrame, pack: Pack) -> DataFrame:
     """Names within two edits of the whole text; closer ones alone for texts of six characters or less."""
     wanted = q.where((F.length("norm") >= 3) & text.code_shape(F.col("text")).isNull())
     terms = g.names.select(F.col("value_norm").alias("term")).where(F.length("term") >= 2).distinct()
-    close = lookup.edit_join(terms, wanted, exact_distance=similarity.osa_distance).join(wanted.select("qid", "norm"), "qid").where("term <> norm and (distance <= 1 or length(norm) > 6)")
+    close = lookup.edit_join(terms, wanted, exact_distance=similarity.osa_distance, prefix=pack.prefix).join(wanted.select("qid", "norm"), "qid").where("term <> norm and (distance <= 1 or length(norm) > 6)")
     hits = close.join(g.names.select("entity_id", "value", F.col("value_norm").alias("term")), "term")
     each = hits.groupBy("qid", "entity_id").agg(F.min("distance").alias("distance"), F.min("value").alias("matched"), F.min(F.length("norm")).alias("len"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "entity_id"))

@@ -442,11 +442,19 @@ def resolve_org_exact(spark, d):
     return r.select("qid", "status", "entity_id", F.round("confidence", 6).alias("confidence"), "tier")
 
 
+def typos(spark, d) -> DataFrame:
+    """(qid, text): misspelt part and nation names."""
+    part = table(spark, d, "part").selectExpr("concat('p', p_partkey) as qid", "case p_partkey % 4 when 0 then concat(substr(p_name, 1, 2), substr(p_name, 4)) when 1 then concat(p_name, 'x') when 2 then concat('q', substr(p_name, 2)) else replace(p_name, ' ', '') end as text")
+    nation = table(spark, d, "nation").selectExpr("concat('n', n_nationkey) as qid", "case n_nationkey % 2 when 0 then replace(n_name, '_', ' ') else concat(n_name, 'x') end as text")
+    return part.union(nation)
+
+
 @query()
-def resolve_all_packs(spark, d):
-    """The whole cascade with fuzzy sources and routing."""
-    r = cascade.resolve(graph(spark, d), asked(spark, d))
-    return r.select("qid", "text", "status", "entity_id", F.round("confidence", 6).alias("confidence"), "tier", "reason", "pack")
+def resolve_fuzzy(spark, d):
+    """The cascade with full text, corrections and reranking; each distinct text is resolved once."""
+    q = typos(spark, d)
+    once = cascade.resolve(graph(spark, d), q.select(F.col("text").alias("qid"), "text").distinct(), packs=["geo", "custom"])
+    return q.join(once.drop("qid", "candidates"), "text").withColumn("confidence", F.round("confidence", 6))
 
 
 @query(sql("""SELECT s_suppkey, n_rows, revenue, 'resolved' AS status, 'org/supp-' || s_suppkey AS entity_id, 0.92 AS confidence, 'Q' || (s_suppkey + 1000) AS output
