@@ -147,6 +147,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: st
 
     found = materialise(rows.mapInArrow(cut, "doc long, hash long, s long, n int, x int, gram long, content long"), "segments")
     grams = found.groupBy("gram").agg(F.count("*").alias("c"), (F.min("content") != F.max("content")).alias("mixed")).where("c > 1").drop("c")
+    # a table of its own: with both sides exchanged for the join alone, adaptive execution may split a hot gram
+    grams = materialise(grams, "grams")
     seen = materialise(found.join(grams, "gram"), "repeated")
     whole = seen.where("not mixed").select("doc", "hash", F.col("s").alias("start"), (F.col("s") + F.col("n") - 1 + length).alias("end"))
 
