@@ -129,7 +129,7 @@ def aligned(text: str) -> tuple[str, list[int], list[int]]:
     i, n = 0, len(text)
     while i < n:
         j = i + 1
-        while j < n and unicodedata.combining(text[j]):
+        while j < n and not text[i].isspace() and unicodedata.combining(text[j]):
             j += 1
         piece = unicodedata.normalize("NFC", text[i:j])
         if piece.isspace():
