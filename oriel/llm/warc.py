@@ -67,6 +67,8 @@ def records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes,
             head.append(line)
             name, _, value = line.decode("utf-8", "replace").partition(":")
             names[name.strip().lower()] = value.strip()
+        if not line or "content-length" not in names:
+            raise ValueError("the archive is cut short within a record's header")
         head.append(line)
         yield names, b"".join(head), read_exactly(stream, int(names["content-length"]))
 
@@ -75,7 +77,7 @@ class Inflated(io.RawIOBase):
     """The inflated bytes of a gzip file of one or more members, read in chunks."""
 
     def __init__(self, stream) -> None:
-        self.stream, self.coder, self.rest = stream, zlib.decompressobj(31), b""
+        self.stream, self.coder, self.rest, self.within = stream, zlib.decompressobj(31), b"", False
 
     def readable(self) -> bool:
         return True
@@ -88,8 +90,11 @@ class Inflated(io.RawIOBase):
             if not self.rest:
                 self.rest = self.stream.read(CHUNK)
             if not self.rest:
+                if self.within:
+                    raise ValueError("the archive is cut short within a gzip member")
                 return 0
             out = self.coder.decompress(self.rest, len(buffer))
+            self.within = not self.coder.eof
             self.rest = self.coder.unconsumed_tail
             if self.coder.eof:
                 self.rest = self.coder.unused_data
