@@ -84,3 +84,62 @@ def unambiguous(rows: DataFrame) -> DataFrame:
     """Benchmark rows (text, entity_type, expected_id) whose text and type mean one id alone."""
     one = rows.groupBy(F.lower("text").alias("_t"), F.col("entity_type").alias("_k")).agg(F.count_distinct("expected_id").alias("n")).where("n = 1")
     return rows.join(one, (F.lower("text") == F.col("_t")) & (F.col("entity_type") == F.col("_k")), "left_semi")
+
+
+def ambiguity_recall(rows: DataFrame) -> DataFrame:
+    """(n, recall): of rows that expect two ids or more, the share whose found ids hold any of them."""
+    several = rows.where(F.size("expected") >= 2)
+    return several.agg(F.count("*").alias("n"), F.avg(F.arrays_overlap("expected", "found").cast("int")).alias("recall"))
+
+
+def _match_spans(gold: list[tuple], found: list[tuple]) -> tuple[int, ...]:
+    """Greedy matches of one document: each gold span takes the first unused overlapping span of its entity."""
+    used: set[int] = set()
+    meets = lambda p, g: p[0] < g[1] and g[0] < p[1]
+    tp = fn = exact = nil_total = nil_correct = 0
+    for g in (g for g in gold if g[2] is not None):
+        at = next((i for i, p in enumerate(found) if i not in used and p[2] == g[2] and meets(p, g)), None)
+        if at is None:
+            fn += 1
+        else:
+            used.add(at)
+            tp, exact = tp + 1, exact + (found[at][:2] == g[:2])
+    matched = len(used)
+    for g in (g for g in gold if g[2] is None):
+        over = {i for i, p in enumerate(found) if i not in used and meets(p, g)}
+        used |= over
+        nil_total, nil_correct = nil_total + 1, nil_correct + (not over)
+    return tp, len(found) - matched, fn, exact, nil_total, nil_correct
+
+
+def span_overlaps(gold: DataFrame, found: DataFrame) -> DataFrame:
+    """tp, fp, fn, precision, recall, f1, boundary_exact, nil_accuracy over documents.
+
+    (doc_id, start, end, entity_id) each; gold spans without an entity mean that nothing should be linked there.
+    Spans are matched in order of start and end within a document, whose spans are one task's work.
+    """
+    from pyspark.sql import types as T
+
+    listed = lambda t, c: t.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "entity_id"))).alias(c))
+    both = listed(gold, "g").join(listed(found, "f"), "doc_id", "full").select("g", "f")
+
+    @F.udf(T.ArrayType(T.LongType()), useArrow=False)
+    def match(g, f):
+        plain = lambda rows: [(r["start"], r["end"], r["entity_id"]) for r in rows or []]
+        return list(_match_spans(plain(g), plain(f)))
+
+    names = ["tp", "fp", "fn", "exact", "nil_total", "nil_correct"]
+    rows = both.select(match("g", "f").alias("m"))
+    c = rows.agg(*[F.sum(F.col("m")[i]).alias(n) for i, n in enumerate(names)])
+    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    return c.select(
+        "tp", "fp", "fn", ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"),
+        ratio(F.col("exact"), tp).alias("boundary_exact"), F.when(F.col("nil_total") > 0, F.col("nil_correct") / F.col("nil_total")).otherwise(1.0).alias("nil_accuracy"),
+    )
+
+
+def prefix_sequence(queries: DataFrame) -> DataFrame:
+    """(query, text) of all prefixes of each query: what a user types on the way."""
+    n = F.explode(F.sequence(F.lit(1), F.length("query")))
+    return queries.select("query", n.alias("n")).select("query", F.expr("substring(query, 1, n)").alias("text"))

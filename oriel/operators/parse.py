@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -108,3 +109,39 @@ def parse(g: EntityGraph, docs: DataFrame, key: str = "doc_id", column: str = "t
     """(key, start, end, surface, entity_id, status): linked mentions."""
     out = link(leftmost_longest(mentions(g, docs, key, column), key), include_nil)
     return out.where("dropped is null").select(key, "start", "end", "surface", "entity_id", "status")
+
+
+def arbitrate(spans: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Spans of several domains without overlaps: (key, start, end, pack, status, confidence, ...).
+
+    Resolved ones go before those without entity, then the surer, the geographic, the longer and the first;
+    a span stays if it meets none that stays already. One pass over a document's spans in that order.
+    """
+    order = [F.when(F.col("status") == "resolved", 0).otherwise(1), F.coalesce("confidence", F.lit(0.0)).desc(), F.when(F.col("pack") == "geo", 0).when(F.col("pack") == "org", 1).otherwise(2), (F.col("end") - F.col("start")).desc(), F.col("start"), F.col("end")]
+    ordered = spans.repartition(key).sortWithinPartitions(F.col(key), *order)
+    place = [ordered.columns.index(c) for c in (key, "start", "end")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, starts, ends = object(), [], []
+        for batch in batches:
+            keep = []
+            for k, a, b in zip(*(batch.column(i).to_pylist() for i in place), strict=True):
+                if k != now:
+                    now, starts, ends = k, [], []
+                i = bisect.bisect_left(starts, a)
+                free = (i == 0 or ends[i - 1] <= a) and (i == len(starts) or starts[i] >= b)
+                keep.append(free)
+                if free:
+                    starts.insert(i, a)
+                    ends.insert(i, b)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return ordered.mapInArrow(run, ordered.schema)
+
+
+def tag_plainly(g: EntityGraph, docs: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
+    """(key, start, end, surface, entity_id): a baseline tagger that links every name to its most prominent entity."""
+    found = leftmost_longest(mentions(g, docs, key, column), key)
+    each = found.select(key, "start", "end", "surface", F.explode("ids").alias("entity_id")).join(g.entities.select("entity_id", "prominence"), "entity_id", "left")
+    best = F.min(F.struct((-F.coalesce("prominence", F.lit(0.0))).alias("p"), "entity_id"))["entity_id"]
+    return each.groupBy(key, "start", "end", "surface").agg(best.alias("entity_id"))
