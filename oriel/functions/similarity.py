@@ -98,7 +98,7 @@ def osa(a: str, b: str, most: int = 2) -> int:
     return row[-1] if row[-1] <= most else -1
 
 
-def _pairwise(f, kind: T.DataType):
+def pairwise(f, kind: T.DataType):
     def call(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([f(x, y) if isinstance(x, str) and isinstance(y, str) else None for x, y in zip(a, b, strict=True)], dtype="object")
 
@@ -107,23 +107,23 @@ def _pairwise(f, kind: T.DataType):
 
 
 def ratio(a: Column, b: Column) -> Column:
-    return _pairwise(indel, T.DoubleType())(a, b)
+    return pairwise(indel, T.DoubleType())(a, b)
 
 
 def token_set_ratio(a: Column, b: Column) -> Column:
-    return _pairwise(token_set, T.DoubleType())(a, b)
+    return pairwise(token_set, T.DoubleType())(a, b)
 
 
 def partial_ratio(a: Column, b: Column) -> Column:
-    return _pairwise(partial, T.DoubleType())(a, b)
+    return pairwise(partial, T.DoubleType())(a, b)
 
 
 def damerau_distance(a: Column, b: Column) -> Column:
-    return _pairwise(damerau, T.IntegerType())(a, b)
+    return pairwise(damerau, T.IntegerType())(a, b)
 
 
 def osa_distance(a: Column, b: Column) -> Column:
-    return _pairwise(osa, T.IntegerType())(a, b)
+    return pairwise(osa, T.IntegerType())(a, b)
 
 
 def jaccard(a: Column, b: Column) -> Column:
