@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oriel.operators import etl
+from oriel.operators.numbering import numbered
 from oriel.session import materialise
 from oriel.sources.graph import EntityGraph
 
@@ -55,26 +56,16 @@ def discover(children: DataFrame, seeds: DataFrame, most_levels: int = 8) -> Dat
     ``place`` is the order of discovery in a level: by the place of the parent, then by id. Levels are tables in
     the shared folder; the numbering of a level goes through ranges, not through one task.
     """
-    level = materialise(_numbered(seeds.select("entity_id").distinct(), F.col("entity_id")).withColumn("level", F.lit(0)), "level")
-    out, seen = level, level.select("entity_id")
+    level = materialise(numbered(seeds.select("entity_id").distinct(), [F.col("entity_id")]).withColumn("level", F.lit(0)), "level")
+    out, seen = level.select("entity_id", "level", "place"), level.select("entity_id")
     for n in range(1, most_levels + 1):
         found = children.join(level.select(F.col("entity_id").alias("parent_id"), F.col("place").alias("_p")), "parent_id").groupBy("entity_id").agg(F.min("_p").alias("_p"))
         found = found.join(seen, "entity_id", "left_anti")
-        level = materialise(_numbered(found, F.struct("_p", "entity_id")).withColumn("level", F.lit(n)), "level")
+        level = materialise(numbered(found, [F.col("_p"), F.col("entity_id")]).drop("_p").withColumn("level", F.lit(n)), "level")
         if level.isEmpty():
             break
-        seen, out = seen.union(level.select("entity_id")), out.union(level)
-    return out.select("entity_id", "level", "place")
-
-
-def _numbered(rows: DataFrame, order: Column) -> DataFrame:
-    """(entity_id, place): gapless numbers from 0 in an order, by sorted ranges and their sizes."""
-    placed = materialise(rows.select("entity_id", order.alias("_o")).repartitionByRange("_o").withColumn("_part", F.spark_partition_id()), "ranges")
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))  # a row per partition
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("_part", before.alias("_before"))
-    n = F.row_number().over(Window.partitionBy("_part").orderBy("_o")) - 1
-    return placed.join(F.broadcast(offsets), "_part").select("entity_id", (F.col("_before") + n).alias("place"))
+        seen, out = seen.union(level.select("entity_id")), out.union(level.select("entity_id", "level", "place"))
+    return out
 
 
 def org_rows(orgs: DataFrame) -> EntityGraph:

@@ -142,12 +142,13 @@ def prominence(rows: DataFrame) -> DataFrame:
     Min-max of site links in a bucket; entities without links by log population over all of those; a single
     value gives 0.5.
     """
-    w, all_ = Window.partitionBy("bucket"), Window.partitionBy(F.col("sitelinks").isNull())
-    scaled = lambda x, over: F.when(F.max(x).over(over) == F.min(x).over(over), 0.5).otherwise((x - F.min(x).over(over)) / (F.max(x).over(over) - F.min(x).over(over)))
-    links = scaled(F.col("sitelinks").cast("double"), w)
-    people = F.log10(F.col("population") + 1)
-    value = F.when(F.col("sitelinks").isNotNull(), links).otherwise(scaled(F.when(F.col("sitelinks").isNull(), people), all_))
-    return rows.select("entity_id", "bucket", F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)).alias("prominence"))
+    links, people = F.col("sitelinks").cast("double"), F.log10(F.col("population") + 1)
+    per = rows.groupBy("bucket").agg(F.min(links).alias("_lo"), F.max(links).alias("_hi"))
+    rest = rows.where("sitelinks is null").agg(F.min(people).alias("_plo"), F.max(people).alias("_phi"))  # one row
+    scaled = lambda x, lo, hi: F.when(F.col(hi) == F.col(lo), 0.5).otherwise((x - F.col(lo)) / (F.col(hi) - F.col(lo)))
+    joined = rows.join(per, rows["bucket"].eqNullSafe(per["bucket"])).drop(per["bucket"]).crossJoin(F.broadcast(rest))
+    value = F.when(F.col("sitelinks").isNotNull(), scaled(links, "_lo", "_hi")).otherwise(scaled(people, "_plo", "_phi"))
+    return joined.select("entity_id", "bucket", F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)).alias("prominence"))
 
 
 def containment_prominence(g: EntityGraph, below: DataFrame) -> DataFrame:
@@ -158,9 +159,9 @@ def containment_prominence(g: EntityGraph, below: DataFrame) -> DataFrame:
     member = g.entities.where("prominence is not null").select("entity_id", "prominence")
     total = below.select("entity_id", "ancestor_id").distinct().join(member, "entity_id").groupBy("ancestor_id").agg(F.sum("prominence").alias("total"))
     typed = total.join(g.entities.select(F.col("entity_id").alias("ancestor_id"), "entity_type"), "ancestor_id")
-    w = Window.partitionBy("entity_type")
-    lo, hi = F.min("total").over(w), F.max("total").over(w)
-    return typed.select(F.col("ancestor_id").alias("entity_id"), F.when(hi == lo, 0.5).otherwise((F.col("total") - lo) / (hi - lo)).alias("prominence"))
+    per = typed.groupBy("entity_type").agg(F.min("total").alias("lo"), F.max("total").alias("hi"))
+    scaled = F.when(F.col("hi") == F.col("lo"), 0.5).otherwise((F.col("total") - F.col("lo")) / (F.col("hi") - F.col("lo")))
+    return typed.join(per, "entity_type").select(F.col("ancestor_id").alias("entity_id"), scaled.alias("prominence"))
 
 
 def spelling_terms(g: EntityGraph) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oriel.functions.text import squeeze
-from oriel.operators.lookup import lookup_code, lookup_name  # noqa: F401
+from oriel.operators.numbering import numbered
 from oriel.sources.graph import EntityGraph
 
 KNOWN_SYSTEMS = ("iso2", "iso3", "iso_numeric", "wikidata", "dcid", "duns", "lei", "suppkey", "custkey", "partkey")
@@ -46,7 +46,9 @@ def filled(column: str) -> Column:
 
 def from_records(records: DataFrame, r: Roles, namespace: str = "local") -> EntityGraph:
     """Mint a graph: ids ``namespace``/id; of rows with one id the first name and type stay, names and codes add up."""
-    seed = filled(r.id) if r.id else F.concat(F.lit("row-"), F.row_number().over(Window.orderBy(*[F.col(c).cast("string") for c in records.columns])).cast("string"))
+    if r.id is None:
+        records = numbered(records, [F.col(c).cast("string") for c in records.columns], "_row")
+    seed = filled(r.id) if r.id else F.concat(F.lit("row-"), (F.col("_row") + 1).cast("string"))
     name = F.coalesce(*[filled(c) for c in r.names])
     rows = records.withColumn("_name", name).withColumn("_id", F.concat(F.lit(namespace + "/"), seed)).where("_name is not null and _id is not null")
     rows = rows.withColumn("_type", filled(r.type_column) if r.type_column else F.lit(r.entity_type)).withColumn("_ord", F.monotonically_increasing_id())

@@ -58,13 +58,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
-def postings(names: DataFrame) -> DataFrame:
-    """(token, entity_id, value_norm, dl, tf): the inverted index. Ids are indexed with their names."""
-    doc = words(F.concat_ws(" ", "entity_id", "value_norm"))
-    rows = names.select("entity_id", "value_norm").distinct().withColumn("w", doc).withColumn("dl", F.size("w"))
-    return rows.select("entity_id", "value_norm", "dl", F.explode("w").alias("token")).groupBy("token", "entity_id", "value_norm", "dl").agg(F.count("*").alias("tf"))
-
-
 K1, B = 1.2, 0.75
 
 
@@ -72,24 +65,31 @@ def full_text(names: DataFrame, queries: DataFrame, budget: int = 50, text: str
     """(qid, entity_id, bm25, rank) of names with all words of a query; phrases first where any match.
 
     BM25 with k1 1.2 and b 0.75 and a floor on the inverse document frequency; an entity counts by its best
-    name. Queries meet postings by word, so only names that share a word are touched; the word of a query
-    with the fewest postings isn't special-cased, since postings are spread over tasks by token.
+    name. A query meets the postings of its rarest word alone, whose names carry their words, so the long
+    postings of common words are never joined; the other words are looked for in those names.
     """
-    index = postings(names)
-    docs = index.select("entity_id", "value_norm", "dl").distinct()
-    stats = docs.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
+    docs = names.select("entity_id", "value_norm").distinct().withColumn("w", words(F.concat_ws(" ", "entity_id", "value_norm")))
+    index = docs.select("entity_id", "value_norm", "w", F.explode(F.array_distinct("w")).alias("token"))
+    stats = docs.agg(F.count("*").alias("n_docs"), F.avg(F.size("w")).alias("avg_dl"))
     idf = index.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))
-    idf = idf.select("token", "avg_dl", F.greatest(F.lit(1e-6), F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("idf"))
-    asked = queries.select("qid", F.array_distinct(words(F.col(text))).alias("w"), F.col(text).alias("q")).withColumn("n", F.size("w")).where("n > 0")
-    terms = asked.select("qid", "q", "n", F.explode("w").alias("token"))
-    hits = terms.join(index, "token").join(idf, "token")
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
-    scored = hits.groupBy("qid", "q", "n", "entity_id", "value_norm").agg(F.count("*").alias("m"), F.sum(part).alias("bm25")).where("m = n")
-    phrase = F.instr(F.concat(F.lit(" "), F.array_join(words(F.col("value_norm")), " "), F.lit(" ")), F.concat(F.lit(" "), F.array_join(words(F.col("q")), " "), F.lit(" "))) > 0
+    idf = idf.select("token", "df", "avg_dl", F.greatest(F.lit(1e-6), F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("idf"))
+    asked = queries.select("qid", F.array_distinct(words(F.col(text))).alias("qw"), F.array_join(words(F.col(text)), " ").alias("q")).where(F.size("qw") > 0)
+    known = asked.select("qid", "q", F.size("qw").alias("n"), F.explode("qw").alias("token")).join(idf, "token")
+    each = known.groupBy("qid", "q", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token", "idf"))).alias("terms"), F.first("avg_dl").alias("avg_dl")).where(F.size("terms") == F.col("n"))
+    hits = each.withColumn("token", F.col("terms")[0]["token"]).join(index, "token").where(F.forall("terms", lambda t: F.array_contains("w", t["token"])))
+    norm = K1 * (1 - B + B * F.size("w") / F.col("avg_dl"))
+
+    def part(t: Column) -> Column:
+        tf = F.size(F.filter("w", lambda x: x == t["token"]))
+        return t["idf"] * tf * (K1 + 1) / (tf + norm)
+
+    scored = hits.withColumn("bm25", F.aggregate("terms", F.lit(0.0), lambda s, t: s + part(t)))
+    spaced = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    phrase = F.instr(spaced(F.array_join(words(F.col("value_norm")), " ")), spaced(F.col("q"))) > 0
     flagged = scored.withColumn("phrase", phrase)
     best = flagged.groupBy("qid", "entity_id").agg(F.max(F.when(F.col("phrase"), F.col("bm25"))).alias("phrase_bm25"), F.max("bm25").alias("any_bm25"))
-    per_query = Window.partitionBy("qid")
-    best = best.withColumn("has_phrase", F.max(F.col("phrase_bm25").isNotNull()).over(per_query)).withColumn("bm25", F.when(F.col("has_phrase"), F.col("phrase_bm25")).otherwise(F.col("any_bm25"))).where("bm25 is not null")
+    with_phrase = best.groupBy("qid").agg(F.max(F.col("phrase_bm25").isNotNull()).alias("has_phrase"))
+    best = best.join(with_phrase, "qid").withColumn("bm25", F.when(F.col("has_phrase"), F.col("phrase_bm25")).otherwise(F.col("any_bm25"))).where("bm25 is not null")
     order = Window.partitionBy("qid").orderBy(F.round("bm25", 9).desc(), "entity_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= budget).select("qid", "entity_id", "bm25", "rank")
 

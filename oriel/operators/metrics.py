@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from oriel.operators.numbering import numbered
+
 Z = 1.959963984540054
 
 
@@ -47,22 +49,28 @@ def calibration(rows: DataFrame, bins: int = 10) -> DataFrame:
 
 
 def adaptive_ece(rows: DataFrame, key: str, bins: int = 10) -> DataFrame:
-    """ECE over chunks of equal counts in order of p, ties by key."""
-    chunk = F.ntile(bins).over(Window.orderBy("p", key))
-    per = rows.withColumn("c", chunk).groupBy("c").agg(F.count("*").alias("n"), F.abs(F.avg("p") - F.avg("y")).alias("g"))
+    """ECE over chunks of equal counts in order of p, ties by key; the first chunks have one row more if it doesn't divide."""
+    total = rows.count()
+    each, more = divmod(total, bins)
+    i, head = F.col("place"), more * (each + 1)
+    chunk = F.when(i < head, F.floor(i / (each + 1))).otherwise(more + F.floor((i - head) / max(each, 1)))
+    per = numbered(rows, [F.col("p"), F.col(key)]).groupBy(chunk.alias("c")).agg(F.count("*").alias("n"), F.abs(F.avg("p") - F.avg("y")).alias("g"))
     return per.agg((F.sum(F.col("n") * F.col("g")) / F.sum("n")).alias("adaptive_ece"))
 
 
 def f1_sweep(rows: DataFrame) -> DataFrame:
-    """(threshold, precision, recall, f1) for 0.01 to 0.99: one row per (p, y) meets 99 thresholds by aggregation of counts."""
-    counts = rows.groupBy("p", "y").agg(F.count("*").alias("n"))
-    thresholds = rows.sparkSession.range(1, 100).select((F.col("id") / 100).alias("threshold"))
-    all_ = thresholds.crossJoin(counts)
-    said = F.col("p") >= F.col("threshold")
-    agg = all_.groupBy("threshold").agg(F.sum(F.when(said & (F.col("y") == 1), F.col("n")).otherwise(0)).alias("tp"), F.sum(F.when(said & (F.col("y") == 0), F.col("n")).otherwise(0)).alias("fp"), F.sum(F.when(~said & (F.col("y") == 1), F.col("n")).otherwise(0)).alias("fn"))
-    precision = F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(0.0)
-    recall = F.when(F.col("tp") + F.col("fn") > 0, F.col("tp") / (F.col("tp") + F.col("fn"))).otherwise(0.0)
-    return agg.select("threshold", precision.alias("precision"), recall.alias("recall"), F.when(F.col("tp") > 0, 2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn"))).otherwise(0.0).alias("f1"))
+    """(threshold, precision, recall, f1) for 0.01 to 0.99.
+
+    Rows are counted by how many thresholds they reach, which leaves a hundred rows; those are summed up from above.
+    """
+    reached = F.array_size(F.filter(F.array(*[F.lit(i / 100) for i in range(1, 100)]), lambda t: t <= F.col("p")))
+    counts = rows.groupBy(reached.alias("t")).agg(F.count_if(F.col("y") == 1).alias("yes"), F.count_if(F.col("y") == 0).alias("no"))
+    every = rows.sparkSession.range(0, 100).select(F.col("id").cast("int").alias("t")).join(counts, "t", "left").na.fill(0, ["yes", "no"])
+    above = Window.orderBy(F.col("t").desc())
+    said = every.select("t", F.sum("yes").over(above).alias("tp"), F.sum("no").over(above).alias("fp"), (F.sum("yes").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) - F.sum("yes").over(above)).alias("fn"))
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    return said.where("t > 0").select((F.col("t") / 100).alias("threshold"), ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), F.when(tp > 0, 2 * tp / (2 * tp + fp + fn)).otherwise(0.0).alias("f1"))
 
 
 def spans(gold: DataFrame, found: DataFrame) -> DataFrame:

@@ -17,6 +17,8 @@ from oriel.sources.graph import EntityGraph
 DENY = ("a", "an", "and", "de", "der", "die", "et", "in", "is", "island", "islands", "la", "le", "of", "on", "or", "the", "to", "und", "with")
 #: Words of a gazetteer name at most; longer names aren't looked for.
 MOST_WORDS = 6
+#: Names of a gazetteer that is sent to workers whole; a larger one is met by the join alone.
+SENT_PATTERNS = 300_000
 WORD = re.compile(r"[\w#'-]+")
 
 
@@ -34,13 +36,21 @@ def mentions(g: EntityGraph, docs: DataFrame, key: str = "doc_id", column: str =
 
     Offsets are half-open code points. Words are runs of word characters, marks that join them and number
     signs; those of a run are apart by white space alone. Runs are as long as the longest name at most, and each
-    is a join key, so the gazetteer may be of any size.
+    is a join key, so the gazetteer may be of any size. One of up to ``SENT_PATTERNS`` names is sent to the
+    workers, which then drop all other runs before anything is shuffled.
     """
     patterns = gazetteer(g) if patterns is None else patterns
-    most = patterns.agg(F.max("n_words")).first()[0] or 1
+    spark = docs.sparkSession
+    bounds = patterns.agg(F.max("n_words").alias("most"), F.count("*").alias("n")).first()
+    most, sent = bounds.most or 1, None
+    if bounds.n <= SENT_PATTERNS:
+        known = {r.norm for r in patterns.select("norm").collect()}
+        begun = {" ".join(w[:n]) for w in (k.split(" ") for k in known) for n in range(1, len(w))}
+        sent = spark.sparkContext.broadcast((known, begun))
     kind = docs.schema[key].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, begun = sent.value if sent is not None else (None, None)
         for batch in batches:
             row, start, end, surface, norm = [], [], [], [], []
 
@@ -57,8 +67,11 @@ def mentions(g: EntityGraph, docs: DataFrame, key: str = "doc_id", column: str =
                             if i + n > len(spans) or not t[spans[i + n - 2][1] : spans[i + n - 1][0]].isspace():
                                 break
                             b = spans[i + n - 1][1]
-                        row.append(r), start.append(a), end.append(b), surface.append(t[a:b])
-                        norm.append(t[a:b].lower() if n == 1 else " ".join(t[a:b].lower().split()))
+                        now = t[a:b].lower() if n == 1 else " ".join(t[a:b].lower().split())
+                        if known is None or now in known:
+                            row.append(r), start.append(a), end.append(b), surface.append(t[a:b]), norm.append(now)
+                        if known is not None and now not in begun:
+                            break
                 if len(row) > 100_000:
                     yield out()
                     row, start, end, surface, norm = [], [], [], [], []
