@@ -204,7 +204,7 @@ def decide(scored: DataFrame, queries: DataFrame, pack: Pack) -> DataFrame:
 
     Accepted early with an exact code; too low; a clear gap to the second; else a tie-break: for geography the
     top strictly outranks all close rivals, and a smaller gap does where all candidates are low in the
-    hierarchy. Ambiguous results have no confidence, too low ones keep theirs.
+    hierarchy; for organisations the one close candidate with ``parent_org_match``, if that is given, wins. Ambiguous results have no confidence, too low ones keep theirs.
     """
     order = Window.partitionBy("qid").orderBy(F.col("confidence").desc(), F.col("raw").desc(), "first_ord", "best_rank", "entity_id")
     every = Window.partitionBy("qid")
@@ -215,6 +215,12 @@ def decide(scored: DataFrame, queries: DataFrame, pack: Pack) -> DataFrame:
     rival = F.max(F.when((F.col("place") > 1) & (top_conf - F.col("confidence") < pack.gap), F.coalesce("hierarchy_rank", F.lit(0.0)))).over(every)
     ranked = ranked.withColumn("gap_needed", F.when(all_low, 0.03).otherwise(pack.gap) if pack.name == "geo" else F.when(text.is_acronym_like(F.col("text")), 0.15).otherwise(pack.gap) if pack.name == "org" else F.lit(pack.gap))
     ranked = ranked.withColumn("outranks", F.coalesce(top_rank > rival, F.lit(False)) if pack.name == "geo" else F.lit(False))
+    if pack.name == "org" and "parent_org_match" in scored.columns:
+        # of the close candidates just one belongs to the parent that the context names
+        close = (top_conf - F.col("confidence") < F.col("gap_needed")) & F.coalesce("parent_org_match", F.lit(False))
+        ranked = ranked.withColumn("n_kin", F.count_if(close).over(every)).withColumn("kin", F.max(F.when(close, F.struct("entity_id", "confidence", "tier"))).over(every))
+    else:
+        ranked = ranked.withColumn("n_kin", F.lit(0)).withColumn("kin", F.struct("entity_id", "confidence", "tier"))
     listed = F.slice(F.transform(F.sort_array(F.collect_list(F.struct("place", "entity_id", "confidence", "entity_type"))), lambda x: F.struct(x["entity_id"].alias("entity_id"), x["confidence"].alias("confidence"), x["entity_type"].alias("entity_type"))), 1, 10)
     near = ranked.where("place <= 10").groupBy("qid").agg(listed.alias("candidates"))
     top = ranked.where("place = 1")
@@ -222,13 +228,16 @@ def decide(scored: DataFrame, queries: DataFrame, pack: Pack) -> DataFrame:
     early = F.col("exact_code_hit") & (F.col("confidence") >= pack.early) & (F.col("n_candidates") == 1)
     status = (
         F.when(early, "resolved").when(F.col("confidence") < pack.threshold, "no_match")
-        .when(gap >= F.col("gap_needed"), "resolved").when(F.col("outranks"), "resolved").otherwise("ambiguous")
+        .when(gap >= F.col("gap_needed"), "resolved").when(F.col("outranks"), "resolved").when(F.col("n_kin") == 1, "kin").otherwise("ambiguous")
     )
     reason = (
-        F.when(F.col("status") == "no_match", "below_threshold").when(F.col("status") == "ambiguous", "low_gap")
+        F.when(F.col("status") == "no_match", "below_threshold").when(F.col("status") == "kin", "parent_context").when(F.col("status") == "ambiguous", "low_gap")
         .when(F.col("exact_code_hit"), "exact_code_match").when(F.col("exact_name_hit"), "exact_name_match").when(F.col("acronym_hit"), "acronym_match").otherwise("fuzzy_match")
     )
     top = top.withColumn("status", status).withColumn("reason", reason)
+    for c in ("entity_id", "confidence", "tier"):
+        top = top.withColumn(c, F.when(F.col("status") == "kin", F.col(f"kin.{c}")).otherwise(F.col(c)))
+    top = top.withColumn("status", F.when(F.col("status") == "kin", "resolved").otherwise(F.col("status")))
     out = queries.select("qid").join(top.join(near, "qid"), "qid", "left")
     return out.select(
         "qid", F.lit(pack.name).alias("pack"), F.coalesce("status", F.lit("no_match")).alias("status"), F.when(F.col("status") == "resolved", F.col("entity_id")).alias("entity_id"),

@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from oriel.api import Resolver, register_functions
-from oriel.operators import build, calibration, etl, explain, metrics, output, parse, spelling
+from oriel.operators import build, calibration, constraints, etl, explain, metrics, output, parse, spelling
+from oriel.operators import resolve as cascade
 from oriel.sources import packs, records
 from oriel.sources.graph import EntityGraph
 from oriel.streaming import resolve as streams
@@ -110,6 +111,16 @@ def test_org_rows_resolve(spark):
     assert [x.target_id for x in r.related("org/2", "subsidiary_of").collect()] == ["org/1"]
 
 
+def test_parent_context_breaks_ties(spark):
+    row = lambda i, parent: (i, "Trade Office", None, None, None, parent, "XX", {})
+    orgs = spark.createDataFrame([row("org/a", "org/p"), row("org/b", "org/q"), row("org/c", None)], "id string, name string, acronym string, short string, legal string, parent_id string, country string, codes map<string,string>")
+    g = build.org_rows(orgs)  # noqa: F811
+    q = cascade.prepare(spark.createDataFrame([(1, "Trade Office")], "qid long, text string"))
+    plain = cascade.resolve_pack(g, q, cascade.ORG, fuzzy=False).first()
+    kin = cascade.resolve_pack(g, q, cascade.ORG, fuzzy=False, constrain=lambda c: constraints.parent_org_flag(c, g, ["org/q"])).first()
+    assert plain.status == "ambiguous" and (kin.status, kin.entity_id, kin.reason) == ("resolved", "org/b", "parent_context")
+
+
 def test_flat_bundles(spark):
     b = spark.createDataFrame([("a", "geo.country", "Aland", ["Old A"], {"iso2": "AL"}, ["w"]), ("a", "geo.country", "Aland", ["Old A"], {"iso2": "AL"}, ["w"])], "id string, type string, name string, aliases array<string>, codes map<string,string>, parents array<string>")
     assert {k: t.count() for k, t in etl.flatten_bundles(b).tables().items()} == {"entities": 1, "names": 2, "codes": 1, "relations": 1}
