@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -54,6 +56,13 @@ def slices(column: pa.Array, most: int = SLICE_BYTES):
         row = last
 
 
+def pieces(batches: Iterator[pa.RecordBatch], place: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that their text column holds about ``most`` bytes, or one row."""
+    for batch in batches:
+        for row, rows in slices(batch.column(place), most):
+            yield batch.slice(row, rows)
+
+
 def binary_array(raw: np.ndarray, starts: np.ndarray, end: int) -> pa.BinaryArray:
     """A binary array of the pieces of ``raw`` that begin at ``starts``; the last one stops at ``end``."""
     offsets = np.append(starts, end).astype(np.int32)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oriel.llm.common import keep_columns, prepare, text_or_empty
+from oriel.llm.common import keep_columns, pieces, prepare, text_or_empty
 from oriel.session import materialise
 
 WORD = re.compile(r"\w+")
@@ -34,6 +34,8 @@ PREFIXES = (4, 5, 6, 7)
 #: such a share of the training texts that hold it are toxic.
 LEAST_TOXIC, LEAST_Z, LEAST_SHARE = 3, 3.5, 0.7
 MOST_FEATURES = 4000
+#: Words that a worker remembers before it starts anew; a cache only.
+MEMORY_WORDS = 100_000
 GROUPS_PER_KIND = 3
 LEXICON = frozenset(
     "idiot idiots stupid moron morons imbecile dumb dumbass loser losers scum trash garbage worthless pathetic disgusting clown fool fools "
@@ -52,12 +54,13 @@ def hashed(name: str) -> int:
     return zlib.crc32(name.encode()) & ((1 << BITS) - 1)
 
 
-def features(words: set[str]) -> list[tuple[int, int]]:
-    """(hash, kind) of a text's words (kind 0) and their beginnings (kinds 1 to 4)."""
-    out = {(hashed("w" + w), 0) for w in words}
+def features(words: set[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and kinds of a text's words (kind 0) and their beginnings (kinds 1 to 4)."""
+    out = {hashed("w" + w): 0 for w in words}
     for k, n in enumerate(PREFIXES, 1):
-        out |= {(hashed(f"{n}{p}"), k) for p in {w[:n] for w in words if len(w) >= n}}
-    return list(out)
+        for p in {w[:n] for w in words if len(w) >= n}:
+            out[hashed(f"{n}{p}")] = k
+    return np.fromiter(out, np.int32, len(out)), np.fromiter(out.values(), np.int8, len(out))
 
 
 @dataclass
@@ -80,7 +83,7 @@ class Model:
             if at is None:
                 names = ["w" + w, *(f"{n}{w[:n]}" for n in PREFIXES if len(w) >= n)]
                 at = tuple(p for p in (index.get(hashed(x)) for x in names) if p is not None)
-                if len(memory) > 300_000:
+                if len(memory) > MEMORY_WORDS:
                     memory.clear()
                 memory[w] = at
             if at:
@@ -210,9 +213,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     sample = texts.join(F.broadcast(chosen), "k")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = [features(set(WORD.findall(t.lower()))) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([[h for h, _ in p] for p in pairs], pa.list_(pa.int32())), pa.array([[k for _, k in p] for p in pairs], pa.list_(pa.int8()))], names=["k", "y", "h", "kind"])
+        for part in pieces(batches, 1):
+            pairs = [features(set(WORD.findall(t.lower()))) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([h for h, _ in pairs], pa.list_(pa.int32())), pa.array([k for _, k in pairs], pa.list_(pa.int8()))], names=["k", "y", "h", "kind"])
 
     # summed on the executors: the driver sees document frequencies, a bounded table, not texts
     found = materialise(sample.select("k", "t", "y").mapInArrow(extract, "k long, y int, h array<int>, kind array<tinyint>"), "features")
@@ -230,21 +233,24 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     sent = spark.sparkContext.broadcast(model)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hits = [sent.value.hits(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h[1] for h in hits], pa.int64()), pa.array([h[0].tolist() for h in hits], pa.list_(pa.int64())), pa.array([h[2] for h in hits], pa.float64())], names=["k", "votes", "places", "share"])
+        for part in pieces(batches, 0):
+            yield pa.RecordBatch.from_arrays([pa.array([sent.value.hits(t)[1] for t in part.column(0).to_pylist()], pa.int64())], names=["votes"])
 
-    voted = "k long, votes long, places array<long>, share double"
-    patterns = texts.mapInArrow(vote, voted).groupBy("votes").agg(F.count("*").alias("n")).toPandas()  # 2 ** 17 rows at most
-    mine_rows = sample.select("k", "t", "y").mapInArrow(lambda it: _with_label(vote, it), voted + ", y int").toPandas().sort_values("k", kind="stable")
+    def vote_in_full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches, 1):
+            hits = [sent.value.hits(t) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([h[1] for h in hits], pa.int64()), pa.array([h[0] for h in hits], pa.list_(pa.int64())), pa.array([h[2] for h in hits], pa.float64())], names=["k", "y", "votes", "places", "share"])
+
+    patterns = texts.select("t").mapInArrow(vote, "votes long").groupBy("votes").agg(F.count("*").alias("n")).toPandas()  # 2 ** 17 rows at most
+    mine_rows = sample.select("k", "t", "y").mapInArrow(vote_in_full, "k long, y int, votes long, places array<long>, share double").toPandas().sort_values("k", kind="stable")
     bits = lambda v: (v.to_numpy(np.int64)[:, None] >> np.arange(N_VOTERS)) & 1
     y = mine_rows["y"].to_numpy(np.int64)
     votes = np.concatenate([bits(patterns["votes"]), bits(mine_rows["votes"])])
     count = np.concatenate([patterns["n"].to_numpy(float), np.ones(len(y))])
     count[: len(patterns)] *= min(1.0, max(1, len(y)) / max(1.0, count[: len(patterns)].sum()))  # weigh both alike
-    label_model = LabelModel(N_VOTERS).fit(votes, count, np.concatenate([np.full(len(patterns), -1), y]))
-    posterior = label_model.posterior(bits(mine_rows["votes"])) if len(y) else np.zeros(0)
     if len(y):
+        label_model = LabelModel(N_VOTERS).fit(votes, count, np.concatenate([np.full(len(patterns), -1), y]))
+        posterior = label_model.posterior(bits(mine_rows["votes"]))
         rows_ = [(np.asarray(p, np.int64), int(v), float(s)) for p, v, s in zip(mine_rows["places"], mine_rows["votes"], mine_rows["share"], strict=True)]
         model.weight = fit_linear(model, rows_, posterior)
     else:
@@ -253,12 +259,6 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return model
 
 
-def _with_label(vote, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for out in vote(iter([batch])):
-            yield out.append_column("y", batch.column(2))
-
-
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", whole_rows: bool = False) -> DataFrame:
     """(key, held_out, score, predicted) per row, or with ``whole_rows`` all columns and ``score``.
 
@@ -271,9 +271,9 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = pa.array([sent.value.score(t or "") for t in batch.column(place).to_pylist()], pa.float64())
-            columns = batch.columns if whole_rows else [batch.column(0)]
+        for part in pieces(batches, place):
+            scores = pa.array([sent.value.score(t or "") for t in part.column(place).to_pylist()], pa.float64())
+            columns = part.columns if whole_rows else [part.column(0)]
             yield pa.RecordBatch.from_arrays([*columns, scores], names=[*(f"c{i}" for i in range(len(columns))), "score"])
 
     names = docs.columns if whole_rows else [key]
