@@ -38,6 +38,13 @@ def plan(n: int, threshold: float) -> tuple[int, int]:
     return k, math.ceil(math.log(MISS) / math.log1p(-(near**k)))
 
 
+def units(raw: np.ndarray) -> np.ndarray:
+    """Rows in double precision and of length 1; squares of tiny or huge components stay in range."""
+    x = raw.astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id", vector: str = "embedding", seed: int = 7) -> DataFrame:
     """(key, n_links, component_id, kept) for every row.
 
@@ -51,14 +58,18 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id"
     """
     spark = vectors.sparkSession
     prepare(spark)
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    element = "float" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "double"  # as given: half the bytes on the wire
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast(f"array<{element}>").alias("v"))
+    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.col("id").isNotNull() & F.coalesce(finite & (square > 0), F.lit(False))
     rows = materialise(rows.withColumn("usable", usable), "vectors")
     classes = materialise(rows.where("usable").groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n")), "classes")
     k, tables = plan(classes.count(), threshold)
     rng_seed = seed
+    # with a row in table t go the first halves of its keys in the tables before: a pair that met there was counted there
+    earlier = np.concatenate([np.arange(t) for t in range(tables)]).astype(np.int64)
+    flat_type = pa.float32() if element == "float" else pa.float64()
 
     def hash_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -73,24 +84,24 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id"
                     rng = np.random.default_rng([rng_seed, int(width)])
                     planes[width] = rng.standard_normal((width, k * tables)), rng.uniform(0, WIDTH, k * tables)
                 at = np.flatnonzero(size == width)
-                x = flat[ends[at][:, None] + np.arange(width)]
-                x = x / np.abs(x).max(1, keepdims=True)  # squares of tiny or huge components stay in range
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                raw = flat[ends[at][:, None] + np.arange(width)]
                 a, b = planes[width]
-                cells = np.floor((x @ a + b) / WIDTH).astype(np.int64).astype(np.uint64).reshape(len(at), tables, k)
+                cells = np.floor((units(raw) @ a + b) / WIDTH).astype(np.int64).astype(np.uint64).reshape(len(at), tables, k)
                 mixed = np.full((len(at), tables), width, np.uint64)
                 for j in range(k):
                     mixed = (mixed ^ cells[:, :, j]) * np.uint64(0x9E3779B97F4A7C15)
                     mixed ^= mixed >> np.uint64(29)
+                short = (mixed >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 for i in range(0, len(at), 128):
                     part = at[i : i + 128]
                     m = len(part)
                     values = [pa.array(np.repeat(ids[part], tables)), pa.array(np.repeat(n[part], tables)), pa.array(np.tile(np.arange(tables, dtype=np.int32), m)), pa.array(mixed[i : i + 128].view(np.int64).ravel())]
-                    keys = pa.FixedSizeListArray.from_arrays(pa.array(np.repeat(mixed[i : i + 128].view(np.int64), tables, axis=0).ravel()), tables).cast(pa.list_(pa.int64()))
-                    unit = pa.FixedSizeListArray.from_arrays(pa.array(np.repeat(x[i : i + 128], tables, axis=0).ravel()), int(width)).cast(pa.list_(pa.float64()))
-                    yield pa.RecordBatch.from_arrays([*values, keys, unit], names=["id", "n", "t", "bucket", "keys", "x"])
+                    offsets = np.append(0, np.cumsum(np.tile(np.arange(tables), m))).astype(np.int32)
+                    keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(short[i : i + 128][:, earlier].ravel()))
+                    x = pa.FixedSizeListArray.from_arrays(pa.array(np.repeat(raw[i : i + 128], tables, axis=0).ravel()), int(width)).cast(pa.list_(flat_type))
+                    yield pa.RecordBatch.from_arrays([*values, keys, x], names=["id", "n", "t", "bucket", "keys", "x"])
 
-    hashed = classes.select("v", "id", "n").mapInArrow(hash_rows, "id long, n long, t int, bucket long, keys array<long>, x array<double>")
+    hashed = classes.select("v", "id", "n").mapInArrow(hash_rows, f"id long, n long, t int, bucket long, keys array<int>, x array<{element}>")
     hashed = materialise(hashed, "buckets")
     large = hashed.groupBy("t", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).where("parts > 1")
     parts = F.coalesce("parts", F.lit(1))
@@ -139,11 +150,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id"
                 return
             columns = {name: group.column(name).chunk(0) for name in group.column_names}
             t, lo, hi = columns["t"][0].as_py(), columns["lo"][0].as_py(), columns["hi"][0].as_py()
-            keys = columns["keys"].flatten().to_numpy().reshape(group.num_rows, -1)
+            keys = columns["keys"].flatten().to_numpy().reshape(group.num_rows, t)
             size = np.diff(columns["x"].offsets.to_numpy())
             if (size != size[0]).any():  # lengths are part of the hash, so this is a chance collision of 64 bits
                 return
-            x = columns["x"].flatten().to_numpy().reshape(group.num_rows, -1)
+            x = units(columns["x"].flatten().to_numpy().reshape(group.num_rows, -1))
             for a, b, c in compare(t, lo == hi, columns["own"].to_numpy(), lo, columns["id"].to_numpy(), columns["n"].to_numpy(), keys, x):
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], names=["a", "b", "links"])
 
