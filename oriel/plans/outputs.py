@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from oriel.functions import scoring, text
-from oriel.operators import build, calibration, etl, explain, metrics, output, parse, spelling, suggest
+from oriel.operators import build, calibration, etl, explain, linking, metrics, output, parse, spelling, suggest
 from oriel.operators import resolve as cascade
 from oriel.plans.oracle_graph import squeeze, sql
 from oriel.plans.queries import HITS, NORM, SUGGEST, TERMS, TYPOS, WORDS_SQL, asked, graph, hits, query, scored, words_graph
@@ -115,6 +115,85 @@ def c6_fuzzy_retrieval(spark, d):
     return spelling.retrieve(g, fixed.groupBy(F.col("norm").alias("qid"), "norm").agg(F.min("corrected").alias("corrected")))
 
 
+@query(sql("""SELECT DISTINCT t AS text, lower(trim(t)) IN ('na', 'n/a', 'n.a.', 'none', 'unknown', '?', '-', '--', '.') AS degenerate, regexp_full_match(trim(t), '([A-Za-z]\\.){2,}[A-Za-z]?\\.?') AS initialism,
+translate(trim(t), '#/-_.,;:!?*|()[]{}''"` ', '') <> trim(t) AND length(translate(trim(t), '#/-_.,;:!?*|()[]{}''"` ', '')) <= 3 AND NOT regexp_matches(translate(trim(t), '#/-_.,;:!?*|()[]{}''"` ', ''), '[0-9]') AND NOT regexp_full_match(trim(t), '([A-Za-z]\\.){2,}[A-Za-z]?\\.?') AS noise
+FROM (SELECT value AS t FROM names UNION ALL SELECT value FROM codes UNION ALL SELECT substr(n_name, 1, 1) || '.' || substr(n_name, 2, 1) || '.' FROM nation UNION ALL SELECT '(' || value || ')' FROM codes WHERE system LIKE 'iso%' UNION ALL VALUES ('n/a'), ('--'), ('?'), (' NA '), ('a-b'))"""))
+def t10_t12_noise(spark, d):
+    g = graph(spark, d)
+    more = spark.createDataFrame([("n/a",), ("--",), ("?",), (" NA ",), ("a-b",)], "text string")
+    t = g.names.select(F.col("value").alias("text")).union(g.codes.select("value")).union(table(spark, d, "nation").selectExpr("concat(substr(n_name, 1, 1), '.', substr(n_name, 2, 1), '.')"))
+    t = t.union(g.codes.where("system like 'iso%'").selectExpr("concat('(', value, ')')")).union(more).distinct()
+    c = F.col("text")
+    return t.select("text", text.is_degenerate(c).alias("degenerate"), text.is_dotted_initialism(c).alias("initialism"), text.is_punctuation_noise(c).alias("noise"))
+
+
+@query(sql("""SELECT DISTINCT t AS text, CASE WHEN regexp_full_match(t, '[0-9]{1,3}') THEN (SELECT string_agg(DISTINCT x, ',' ORDER BY x) FROM (VALUES (t), (lpad(regexp_replace(t, '^0+([0-9])', '\\1'), 3, '0')), (regexp_replace(t, '^0+([0-9])', '\\1'))) v(x))
+ELSE (SELECT string_agg(DISTINCT x, ',' ORDER BY x) FROM (VALUES (t), (regexp_replace(t, '^wikidata:', ''))) v(x)) END AS keys FROM (SELECT lower(value) AS t FROM codes UNION ALL SELECT 'wikidata:' || lower(value) FROM codes WHERE system = 'wikidata' UNION ALL SELECT CAST(n_nationkey AS VARCHAR) FROM nation)"""))
+def t24_lookup_values(spark, d):
+    g = graph(spark, d)
+    t = g.codes.selectExpr("lower(value) as text").union(g.codes.where("system = 'wikidata'").selectExpr("concat('wikidata:', lower(value))")).union(table(spark, d, "nation").selectExpr("cast(n_nationkey as string)")).distinct()
+    return t.select("text", F.array_join(F.array_sort(text.lookup_values(F.col("text"))), ",").alias("keys"))
+
+
+@query("WITH " + WORDS_SQL + """, w AS (SELECT unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_#''-]+')) AS s FROM conversations),
+x AS (SELECT s, norm FROM w JOIN gaz ON lower(s) = norm) SELECT CASE WHEN length(s) <= 20 AND lower(s) IN ('international', 'unknown', 'pending', 'various', 'others', 'example', 'sample', 'testing') THEN 'sentinel' WHEN upper(s) <> s AND norm[1] < 'e' THEN 'code_case_mismatch' WHEN norm[1] > 'r' THEN 'below_threshold' ELSE 'kept' END AS gate, count(*) AS n FROM x GROUP BY 1""")
+def x2_link_gates(spark, d):
+    """Mentions by the gate that drops them; names before e pass as codes, and those from s on have two entities."""
+    g, docs = words_graph(spark, d), table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("doc_id"), "text")
+    initial = F.substring("norm", 1, 1)
+    patterns = parse.gazetteer(g).withColumn("code_shaped", initial < "e").withColumn("ids", F.when(initial > "r", F.array(F.lit("a"), F.lit("b"))).otherwise(F.col("ids")))
+    spans = parse.leftmost_longest(parse.mentions(g, docs, patterns=patterns))
+    return parse.link(spans).groupBy(F.coalesce("dropped", F.lit("kept")).alias("gate")).agg(F.count("*").alias("n"))
+
+
+# --- resolution --------------------------------------------------------------------------------------------------
+
+PLACES = "place(qid, text) AS (SELECT n_nationkey, CASE n_nationkey % 6 WHEN 0 THEN n_name WHEN 1 THEN ' ' || replace(lower(n_name), '_', '  ') WHEN 2 THEN (SELECT value FROM codes WHERE entity_id = 'country/' || n_nationkey AND system = 'iso2') WHEN 3 THEN lower((SELECT value FROM codes WHERE entity_id = 'country/' || n_nationkey AND system = 'iso2')) WHEN 4 THEN CAST(n_nationkey AS VARCHAR) ELSE 'The ' || (SELECT r_name FROM region WHERE r_regionkey = n_regionkey) END FROM nation)"
+
+
+@query(sql("""SELECT qid, CASE WHEN e IS NULL THEN 'no_match' ELSE 'resolved' END AS status, e AS entity_id, CASE WHEN e IS NOT NULL THEN round(1 / (1 + exp(raw * -8.499867056667657 + 5.556690191789257)), 6) END AS confidence FROM (
+SELECT p.qid, coalesce(c.entity_id, n.entity_id) AS e, CASE WHEN c.entity_id IS NOT NULL THEN 0.95 ELSE 0.9 END + 0.009 * CASE WHEN coalesce(c.entity_id, n.entity_id) LIKE 'country/%' THEN 0.85 ELSE 0.75 END + coalesce(0.12 * (x.prominence - 0.5), 0) AS raw
+FROM place p LEFT JOIN codes c ON NOT regexp_full_match(p.text, '[a-z]{1,3}') AND ((c.system = 'iso2' AND c.value_norm = lower(trim(p.text))) OR (c.system = 'iso_numeric' AND regexp_full_match(p.text, '[0-9]{1,3}') AND c.value_norm = lpad(p.text, 3, '0')))
+LEFT JOIN names n ON c.entity_id IS NULL AND n.value_norm = lower(trim(regexp_replace(p.text, '\\s+', ' ', 'g'))) AND (n.entity_id LIKE 'country/%' OR n.entity_id LIKE 'region/%') AND name_kind <> 'acronym' AND NOT regexp_full_match(p.text, '[a-z]{1,3}') LEFT JOIN entities x ON x.entity_id = coalesce(c.entity_id, n.entity_id))""", PLACES))
+def resolve_geo_exact(spark, d):
+    g = graph(spark, d)
+    iso2 = g.codes.where("system = 'iso2'").select(F.col("entity_id").alias("e"), F.col("value").alias("iso2"))
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).join(iso2, F.concat(F.lit("country/"), "n_nationkey") == F.col("e"))
+    q = n.select(F.col("n_nationkey").alias("qid"), F.expr("case n_nationkey % 6 when 0 then n_name when 1 then concat(' ', replace(lower(n_name), '_', '  ')) when 2 then iso2 when 3 then lower(iso2) when 4 then cast(n_nationkey as string) else concat('The ', r_name) end").alias("text"))
+    out = cascade.resolve(g, q, packs=["geo"], fuzzy=False)
+    return out.select("qid", "status", "entity_id", F.round("confidence", 6).alias("confidence"))
+
+
+SAID = """said AS (SELECT qid, pack, CASE s WHEN 0 THEN 'resolved' WHEN 1 THEN 'ambiguous' ELSE 'no_match' END AS status, pack || '/' || qid AS e, c, CASE WHEN s = 0 THEN 3 + (qid + o) % 3 END AS tier FROM (
+SELECT c_custkey AS qid, pack, o, floor(c_custkey / pow(3, o)) % 3 AS s, round(0.7 + ((c_custkey * (o + 3)) % 31) / 110.0::DOUBLE, 6) AS c FROM customer, (VALUES ('custom', 2), ('geo', 0), ('org', 1)) v(pack, o)))"""
+
+
+@query("WITH " + SAID + """, m AS (SELECT *, CASE pack WHEN 'geo' THEN c WHEN 'org' THEN CASE WHEN c >= 0.85 THEN 0.85 + (c - 0.85) / 0.15 * 0.15 ELSE 0.6 + (c - 0.65) / 0.2 * 0.25 END ELSE CASE WHEN c >= 0.88 THEN 0.85 + (c - 0.88) / 0.12 * 0.15 ELSE 0.6 + (c - 0.65) / 0.23 * 0.25 END END AS u FROM said),
+r AS (SELECT *, row_number() OVER o AS place, sum(CAST(status = 'resolved' AS INT)) OVER (PARTITION BY qid) AS k, max(CASE WHEN status = 'ambiguous' THEN u END) OVER (PARTITION BY qid) AS rival, lead(CASE WHEN status = 'resolved' THEN tier END) OVER o AS t2, lead(CASE WHEN status = 'resolved' THEN u END) OVER o AS u2
+FROM m WINDOW o AS (PARTITION BY qid ORDER BY CASE status WHEN 'resolved' THEN 0 WHEN 'ambiguous' THEN 1 ELSE 2 END, coalesce(tier, -1) DESC, u DESC, pack)),
+f AS (SELECT *, coalesce(CASE WHEN k = 1 THEN rival >= u WHEN k > 1 THEN t2 = tier AND u - u2 < 0.1 END, false) AS x FROM r WHERE place = 1)
+SELECT qid, CASE WHEN x THEN 'ambiguous' ELSE status END AS status, CASE WHEN NOT x AND status = 'resolved' THEN e END AS entity_id, CASE WHEN NOT x AND status = 'resolved' THEN pack END AS pack FROM f""")
+def d15_merged_packs(spark, d):
+    v = spark.createDataFrame([("custom", 2), ("geo", 0), ("org", 1)], "pack string, o int")
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("qid")).crossJoin(F.broadcast(v))
+    s = rows.selectExpr("qid", "pack", "o", "cast(floor(qid / pow(3, o)) % 3 as int) as s", "round(0.7D + ((qid * (o + 3)) % 31) / 110.0D, 6) as top_confidence")
+    said = s.selectExpr(
+        "qid", "pack", "case s when 0 then 'resolved' when 1 then 'ambiguous' else 'no_match' end as status", "case when s = 0 then concat(pack, '/', qid) end as entity_id", "top_confidence as confidence",
+        "case when s = 0 then cast(3 + (qid + o) % 3 as int) end as tier", "'said' as reason", "top_confidence", "array() as candidates",
+    )
+    return cascade.merge_packs(said).select("qid", "status", "entity_id", "pack")
+
+
+@query(sql("""SELECT value, 'ambiguous' AS status, max(CASE WHEN r = 1 THEN entity_id END) AS cand_1_id, max(CASE WHEN r = 2 THEN entity_id END) AS cand_2_id, max(CASE WHEN r = 3 THEN entity_id END) AS cand_3_id, max(CASE WHEN r = 1 THEN canonical_name END) AS cand_1_name FROM (
+SELECT q.value, h.entity_id, canonical_name, count(*) OVER (PARTITION BY q.value) AS n, row_number() OVER (PARTITION BY q.value ORDER BY alias, coalesce(prominence, 0.5) DESC, h.entity_id) AS r FROM (SELECT DISTINCT p_name AS value FROM part) q
+JOIN (SELECT value_norm, entity_id, bool_and(name_kind = 'alias') AS alias FROM names WHERE entity_id LIKE 'custom/%' GROUP BY 1, 2) h ON h.value_norm = lower(q.value) JOIN entities USING (entity_id)) WHERE n > 1 GROUP BY value"""))
+def s9_review(spark, d):
+    g = graph(spark, d)
+    q = table(spark, d, "part").select(F.col("p_name").alias("text")).distinct().withColumn("qid", F.col("text"))
+    rows = linking.review(cascade.resolve(g, q, packs=["custom"], fuzzy=False), g)
+    return rows.select("value", "status", "cand_1_id", "cand_2_id", "cand_3_id", "cand_1_name")
+
+
 # --- what follows a decision -------------------------------------------------------------------------------------
 
 ANSWERS = """answers AS (SELECT c_custkey AS qid, c_custkey % 2 = 0 AS open, 'org/cust-' || c_custkey AS e1, 0.9::DOUBLE AS p1, CASE WHEN c_custkey % 7 = 0 THEN 'geo.organization' ELSE 'org.company' END AS t1,
