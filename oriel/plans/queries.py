@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,7 +39,10 @@ def graph(spark: SparkSession, sf_dir: str) -> EntityGraph:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stored:
         _stored.clear()
-        _stored[key] = graphs.from_warehouse(spark, sf_dir).map(lambda name, t: materialise(t, f"graph-{name}"))
+        tables = graphs.from_warehouse(spark, sf_dir).tables()
+        with ThreadPoolExecutor(len(tables)) as pool:  # four independent jobs
+            stored = pool.map(lambda x: (x[0], materialise(x[1], f"graph-{x[0]}")), tables.items())
+            _stored[key] = EntityGraph(**dict(stored))
     return _stored[key]
 
 
