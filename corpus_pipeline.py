@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oriel.llm import idfile, mixing, simhash, tiling, toxicity
+from oriel.llm import idfile, jaccard, mixing, tiling, toxicity
 from oriel.llm.common import with_plain_names
 from oriel.llm.queries import tokenizer_path
 from oriel.session import materialise, table, workers_see_package
@@ -22,11 +22,16 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group the document with the smallest id; documents without an id stay."""
+    """Of each near-duplicate group the document with the smallest id; documents without an id stay.
+
+    Texts are linked when their sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
+    """
     workers_see_package(spark)
-    groups = simhash.near_groups(docs)
-    others = materialise(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_other")).distinct(), "others")
-    return docs.join(others, docs["doc_id"] == others["_other"], "left_anti")
+    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    placed = materialise(rows.select("_row", F.col("doc_id").alias("_doc")).join(jaccard.groups(rows).withColumnRenamed("row", "_row"), "_row").where("_doc is not null"), "placed")
+    first = placed.groupBy("component").agg(F.min("_doc").alias("_first"))
+    others = materialise(placed.join(first, "component").where("_doc <> _first").select("_doc").distinct(), "others")
+    return docs.join(others, docs["doc_id"] == others["_doc"], "left_anti")
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
