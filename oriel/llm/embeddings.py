@@ -87,7 +87,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id"
                 raw = flat[ends[at][:, None] + np.arange(width)]
                 a, b = planes[width]
                 cells = np.floor((units(raw) @ a + b) / WIDTH).astype(np.int64).astype(np.uint64).reshape(len(at), tables, k)
-                mixed = np.full((len(at), tables), width, np.uint64)
+                # the length as an odd multiple, shifted, so that lengths never differ by what cells differ by
+                start = int(width) * 0xD6E8FEB86659FD93 & (1 << 64) - 1
+                mixed = np.full((len(at), tables), start ^ start >> 32, np.uint64)
                 for j in range(k):
                     mixed = (mixed ^ cells[:, :, j]) * np.uint64(0x9E3779B97F4A7C15)
                     mixed ^= mixed >> np.uint64(29)
@@ -152,11 +154,15 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id"
             t, lo, hi = columns["t"][0].as_py(), columns["lo"][0].as_py(), columns["hi"][0].as_py()
             keys = columns["keys"].flatten().to_numpy().reshape(group.num_rows, t)
             size = np.diff(columns["x"].offsets.to_numpy())
-            if (size != size[0]).any():  # lengths are part of the hash, so this is a chance collision of 64 bits
-                return
-            x = units(columns["x"].flatten().to_numpy().reshape(group.num_rows, -1))
-            for a, b, c in compare(t, lo == hi, columns["own"].to_numpy(), lo, columns["id"].to_numpy(), columns["n"].to_numpy(), keys, x):
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], names=["a", "b", "links"])
+            flat, ends = columns["x"].flatten().to_numpy(), np.append(0, np.cumsum(size))
+            own, ids, n = (columns[name].to_numpy() for name in ("own", "id", "n"))
+            for width in np.unique(size):  # lengths are part of the hash, but two may meet by chance
+                at = np.flatnonzero(size == width)
+                if len(at) < 2:
+                    continue
+                x = units(flat.reshape(len(at), -1) if len(at) == len(size) else flat[ends[at][:, None] + np.arange(width)])
+                for a, b, c in compare(t, lo == hi, own[at], lo, ids[at], n[at], keys[at], x):
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], names=["a", "b", "links"])
 
         for batch in batches:
             if not batch.num_rows:
