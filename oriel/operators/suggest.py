@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from oriel.functions import similarity
 from oriel.operators.lookup import infix_join, iter_names, prefix_join
+from oriel.session import workers_see_package
 from oriel.sources.graph import EntityGraph
 
 EXACT_PREFIX, TOKEN_PREFIX, INFIX, FUZZY = 0, 1, 2, 3
 RANKED_TIERS = ("geo.country", "geo.admin1", "geo.city")
 LEAST_PROMINENCE = 0.3
+#: Queries and names in a pair of blocks, and names compared with a query at once.
+QUERIES, NAMES, SCORED = 64, 8192, 1024
 
 
 def suggest(g: EntityGraph, prefixes: DataFrame, top_k: int = 10, include: list[str] | None = None, exclude: list[str] | None = None, fuzzy: bool = False) -> DataFrame:
@@ -44,16 +52,73 @@ def suggest(g: EntityGraph, prefixes: DataFrame, top_k: int = 10, include: list[
 
 
 def like_names(names: DataFrame, q: DataFrame, top_k: int) -> DataFrame:
-    """Names whose partial ratio with the query is 0.7 or more among those that share a third of its 2-grams.
+    """Names whose partial ratio with the query is 0.7 or more, of all names at least half as long.
 
-    The 2-grams replace a comparison with all names; names that are alike without sharing them aren't found.
+    Blocks of queries meet blocks of names; ``may_be_like`` leaves out only pairs that can't reach 0.7.
     """
     pool = min(max(5 * top_k, 50), 500)
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
-    terms = names.select("value_norm").distinct().withColumn("g", F.explode(grams(F.col("value_norm"))))
-    asked = q.select("qid", "norm", F.explode(grams(F.col("norm"))).alias("g"), F.size(grams(F.col("norm"))).alias("n"))
-    shared = asked.join(terms, "g").groupBy("qid", "norm", "n", "value_norm").agg(F.count("*").alias("c")).where("c * 3 >= n and length(value_norm) >= length(norm) / 2")
-    scored = shared.withColumn("s", similarity.partial_ratio(F.col("norm"), F.col("value_norm"))).where("s >= 0.7")
+    like = like_pairs(q.select("norm").distinct(), names.select("value_norm").where("value_norm is not null").distinct())
+    scored = q.select("qid", "norm").join(like.withColumn("s", similarity.partial_ratio(F.col("norm"), F.col("value_norm"))).where("s >= 0.7"), "norm")
     best = scored.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("s").desc(), "value_norm"))).where(F.col("r") <= pool)
     typed = best.withColumn("typo_count", similarity.damerau_distance(F.col("norm"), F.col("value_norm")))
     return q.select("qid", "text").join(typed.select("qid", "norm", "value_norm", "typo_count"), "qid").join(names, "value_norm")
+
+
+def like_pairs(asked: DataFrame, terms: DataFrame) -> DataFrame:
+    """(norm, value_norm): the pairs of ``may_be_like``, found in blocks."""
+    workers_see_package(asked.sparkSession)
+    block = lambda df, c, most, i: df.groupBy(F.pmod(F.xxhash64(c), F.lit(max(1, math.ceil(df.count() / most)))).alias(i)).agg(F.collect_list(c).alias(c))
+    pairs = block(asked, "norm", QUERIES, "i").crossJoin(block(terms, "value_norm", NAMES, "j")).repartition("i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                norms, values = batch.column(0)[row].as_py(), sorted(batch.column(1)[row].as_py(), key=len)
+                for i in range(0, len(values), SCORED):
+                    part = values[i : i + SCORED]
+                    for norm, at in may_be_like(norms, part):
+                        yield pa.RecordBatch.from_arrays([pa.array([norm] * len(at), pa.string()), pa.array([part[k] for k in at], pa.string())], names=["norm", "value_norm"])
+
+    return pairs.select("norm", "value_norm").mapInArrow(run, "norm string, value_norm string")
+
+
+def may_be_like(norms: list[str], values: list[str]) -> Iterator[tuple[str, np.ndarray]]:
+    """For each query the places of ``values`` that can have a partial ratio of 0.7; none that has it is left out.
+
+    With n characters in the shorter text and L of them in common with a window w, L <= w and 20 L >= 7 (n + w), so
+    13 L >= 7 n, and L is at most the characters in common in any order. What passes is compared with every window.
+    """
+    size = np.array([len(v) for v in values])
+    points = [np.frombuffer(v.encode("utf-32-le", "surrogatepass"), "<u4") for v in values]
+    letters, code = np.unique(np.concatenate(points), return_inverse=True)
+    codes = np.full((len(values), max(1, size.max())), len(letters))  # the last code stands for no character
+    codes[np.arange(codes.shape[1]) < size[:, None]] = code
+    counts = np.zeros((len(values), len(letters) + 1), np.int32)
+    np.add.at(counts, (np.repeat(np.arange(len(values)), size), code), 1)
+    place = {chr(c): i for i, c in enumerate(letters.tolist())}
+    for norm in norms:
+        n = len(norm)
+        own: dict[int, int] = {}
+        masks = np.zeros(len(letters) + 1, np.uint64)
+        for i, c in enumerate(norm):
+            if c in place:
+                own[place[c]] = own.get(place[c], 0) + 1
+                if n < 64:
+                    masks[place[c]] |= np.uint64(1 << i)
+        common = np.minimum(counts[:, list(own)], np.array(list(own.values()), np.int32)).sum(1) if own else np.zeros(len(values), np.int64)
+        passed = (13 * common >= 7 * np.minimum(n, size)) & (2 * size >= n)
+        at = np.flatnonzero(passed & (size >= n))
+        if len(at) and n < 64:
+            wide = np.pad(masks[codes[at]], ((0, 0), (n - 1, n - 1)))
+            windows = wide.shape[1] - n + 1
+            row = np.full((len(at), windows), (1 << n) - 1, np.uint64)
+            for k in range(n):
+                hit = row & wide[:, k : k + windows]
+                row = (row + hit) | (row - hit)
+            first = np.arange(windows) - n + 1
+            length = np.minimum(first + n, size[at][:, None]) - np.maximum(first, 0)
+            alike = n - np.bitwise_count(row & np.uint64((1 << n) - 1)).astype(np.int64)
+            at = at[((20 * alike >= 7 * (n + length)) & (length > 0)).any(1)]
+        at = np.concatenate([at, np.flatnonzero(passed & (size < n))])
+        if len(at):
+            yield norm, at
