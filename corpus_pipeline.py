@@ -22,16 +22,21 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group the document with the smallest id; documents without an id stay.
+    """Of each near-duplicate group one row, that with the smallest id (then text hash); rows without an id stay.
 
-    Texts are linked when their sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
+    Texts are linked when their sets of 5-word shingles have a Jaccard similarity of 0.8 or more; equal ids link nothing.
     """
     workers_see_package(spark)
-    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    placed = materialise(rows.select("_row", F.col("doc_id").alias("_doc")).join(jaccard.groups(rows).withColumnRenamed("row", "_row"), "_row").where("_doc is not null"), "placed")
-    first = placed.groupBy("component").agg(F.min("_doc").alias("_first"))
-    others = materialise(placed.join(first, "component").where("_doc <> _first").select("_doc").distinct(), "others")
-    return docs.join(others, docs["doc_id"] == others["_doc"], "left_anti")
+
+    def choose(docs: DataFrame) -> DataFrame:
+        rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+        order = F.struct(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("hash"), F.col("_row").alias("row"))
+        placed = materialise(rows.where("doc_id is not null").select("_row", order.alias("o")).join(jaccard.groups(rows).withColumnRenamed("row", "_row"), "_row"), "placed")
+        first = placed.groupBy("component").agg(F.min("o").alias("first"))
+        others = materialise(placed.join(first, "component").where("o.row <> first.row").select("_row"), "others")
+        return rows.join(others, "_row", "left_anti").drop("_row")
+
+    return with_plain_names(docs, choose, "doc_id", "text")
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

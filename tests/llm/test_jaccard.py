@@ -70,3 +70,12 @@ def test_stage_on_documents(spark):
     root, _ = plain_roots([t for _, t in rows])
     got = sorted(r.doc_id for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect())
     assert got == [d for i, (d, _) in enumerate(rows) if root[i] == i]
+
+
+def test_stage_keeps_one_row_of_each_group_whatever_the_ids(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(3, a), (7, a), (7, b), (9, b + " more"), (1, "once"), (1, "once"), (1, "other words"), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()]
+    want = [(None, a), (1, "once"), (1, "other words"), (3, a), (7, b)]
+    assert sorted(got, key=str) == sorted(want, key=str)
