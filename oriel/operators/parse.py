@@ -15,8 +15,6 @@ from oriel.functions import text
 from oriel.sources.graph import EntityGraph
 
 DENY = ("a", "an", "and", "de", "der", "die", "et", "in", "is", "island", "islands", "la", "le", "of", "on", "or", "the", "to", "und", "with")
-#: Words of a gazetteer name at most; longer names aren't looked for.
-MOST_WORDS = 6
 #: Names of a gazetteer that is sent to workers whole; a larger one is met by the join alone.
 SENT_PATTERNS = 300_000
 WORD = re.compile(r"[\w#'-]+")
@@ -28,7 +26,7 @@ def gazetteer(g: EntityGraph, codes: bool = False) -> DataFrame:
     if codes:
         rows = rows.union(g.codes.select("entity_id", F.col("value_norm").alias("norm"), F.lit(True).alias("code")))
     out = rows.groupBy("norm").agg(F.sort_array(F.collect_set("entity_id")).alias("ids"), F.every("code").alias("code_shaped"))
-    return out.withColumn("n_words", F.size(F.split("norm", " "))).where((F.col("n_words") <= MOST_WORDS) & (F.col("norm") != ""))
+    return out.withColumn("n_words", F.size(F.split("norm", " "))).where(F.col("norm") != "")
 
 
 def mentions(g: EntityGraph, docs: DataFrame, key: str = "doc_id", column: str = "text", patterns: DataFrame | None = None) -> DataFrame:
