@@ -55,7 +55,15 @@ def materialise(df: DataFrame, label: str, partition_by: list[str] | None = None
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``materialise`` that nothing reads any more: what was made of them is itself written."""
+    for t in tables:
+        discard(t.sparkSession, t._scratch)
 
 
 def discard(spark: SparkSession, path: str) -> None:
