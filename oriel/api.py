@@ -76,7 +76,7 @@ class Resolver:
         parents = list(context.get("parent_ids", []))
         if country := context.get("country"):
             system = "iso2" if len(country) == 2 else "iso3"
-            parents += [r.entity_id for r in g.codes.where((F.col("system") == system) & (F.col("value_norm") == country.lower())).select("entity_id").limit(10).collect()]
+            parents += [r.entity_id for r in g.codes.where((F.col("system") == system) & (F.col("value_norm") == country.lower())).select("entity_id").distinct().collect()]  # all entities of one country code
 
         def constrain(c: DataFrame) -> DataFrame:
             if kinds := context.get("entity_types"):

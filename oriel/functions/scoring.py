@@ -29,8 +29,8 @@ def isotonic(raw: Column, xs: list[float], ys: list[float]) -> Column:
     """Piecewise linear between fitted points, flat beyond them."""
     out = F.lit(ys[-1])
     for i in range(len(xs) - 1, 0, -1):
-        slope = (ys[i] - ys[i - 1]) / (xs[i] - xs[i - 1]) if xs[i] > xs[i - 1] else 0.0
-        out = F.when(raw < xs[i], ys[i - 1] + (raw - xs[i - 1]) * slope).otherwise(out)
+        line = (raw - xs[i - 1]) * (ys[i] - ys[i - 1]) / (xs[i] - xs[i - 1]) if xs[i] > xs[i - 1] else F.lit(0.0)
+        out = F.when(raw < xs[i], ys[i - 1] + line).otherwise(out)
     return F.when(raw <= xs[0], F.lit(ys[0])).otherwise(out)
 
 

@@ -150,6 +150,25 @@ def aligned(text: str) -> tuple[str, list[int], list[int]]:
     return "".join(out), start, end
 
 
+ALIGNED = T.StructType([T.StructField("text", T.StringType()), T.StructField("start", T.ArrayType(T.IntegerType())), T.StructField("end", T.ArrayType(T.IntegerType()))])
+
+
+@F.pandas_udf(ALIGNED)
+def align(s: pd.Series) -> pd.DataFrame:
+    """Normal text with, for each of its characters, where it starts and ends in the raw text."""
+    rows = [aligned(v) if isinstance(v, str) else (None, [], []) for v in s]
+    return pd.DataFrame({k: pd.Series([r[i] for r in rows], dtype="object") for i, k in enumerate(("text", "start", "end"))})
+
+
+def highlight(query: Column, display: Column, fuzzy: Column) -> Column:
+    """Half-open range of code points of ``display`` that the folded query takes first; null for fuzzy matches and where it isn't found."""
+    folded, of = fold_with_offsets(display), fold_for_match(query)
+    at = F.when(F.length(of) > 0, F.instr(folded["text"], of))
+    found = ~fuzzy & (at > 0)
+    last = folded["offsets"][(at + F.length(of) - 2).cast("int")]
+    return F.when(found, F.struct(folded["offsets"][(at - 1).cast("int")].alias("start"), (last + 1).alias("end")))
+
+
 def tokenise(text: Column) -> Column:
     return F.filter(F.split(text, " "), lambda x: x != "")
 

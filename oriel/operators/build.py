@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +40,27 @@ def run_stages(g: EntityGraph, stages: list[Stage], path: str) -> tuple[EntityGr
     return g, ran
 
 
+def fetch_all(ids: DataFrame, fetch: Callable[[DataFrame], DataFrame], most_retries: int = 5, wait: float = 0.5, sleep: Callable[[float], None] = time.sleep) -> tuple[DataFrame, DataFrame, str]:
+    """(rows, ids without rows, why it ended) of ``fetch`` asked again and again for the ids it gave nothing for.
+
+    ``fetch`` takes (entity_id) and returns rows with that column; how it cuts ids into requests is the affair of its
+    partitions, which Spark runs in parallel and repeats where a task fails. Waits double with each round. It ends
+    when nothing is left (done), a round gives nothing new (no_progress), or after ``most_retries`` (retries).
+    """
+    left, rows = materialise(ids.select("entity_id").distinct(), "asked"), None
+    for n in range(most_retries + 1):
+        if n:
+            sleep(wait * 2 ** (n - 1))
+        got = materialise(fetch(left).join(left, "entity_id", "left_semi"), "fetched")
+        if got.isEmpty():
+            return (rows if rows is not None else got), left, "no_progress"
+        rows = got if rows is None else rows.unionByName(got)
+        left = materialise(left.join(got.select("entity_id"), "entity_id", "left_anti"), "asked")
+        if left.isEmpty():
+            return rows, left, "done"
+    return rows, left, "retries"
+
+
 def merge_types(store: EntityGraph, new: EntityGraph, types: list[str]) -> EntityGraph:
     """A shared store whose entities of ``types`` are replaced by those of ``new``; relations left without an end go."""
     gone = store.entities.where(F.col("entity_type").isin(types)).select("entity_id")

@@ -85,6 +85,11 @@ def missing_targets(g: EntityGraph) -> DataFrame:
     return g.relations.select(F.col("target_id").alias("entity_id")).distinct().join(g.entities.select("entity_id"), "entity_id", "left_anti")
 
 
+def overlap(a: EntityGraph, b: EntityGraph) -> DataFrame:
+    """Ids of entities that both graphs have."""
+    return a.entities.select("entity_id").intersect(b.entities.select("entity_id"))
+
+
 def integrity(g: EntityGraph) -> DataFrame:
     """(check, n): violations of each rule, one row each."""
     blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))

@@ -98,22 +98,27 @@ def bm25_score(rank: Column, steps: tuple[float, ...] = (0.85, 0.75, 0.65, 0.55,
     return F.when(rank == 1, steps[0]).when(rank <= 3, steps[1]).when(rank <= 10, steps[2]).when(rank <= 20, steps[3]).otherwise(steps[4])
 
 
-def prefix_join(names: DataFrame, queries: DataFrame, text: str = "norm", block: int = 2) -> DataFrame:
-    """Names that start with a query's text: joined on the first ``block`` characters, then checked."""
-    q = queries.where(F.length(text) > 0)
-    long_q = q.where(F.length(text) >= block).withColumn("_b", F.substring(text, 1, block))
-    n = names.withColumn("_b", F.substring("value_norm", 1, block))
-    wide = long_q.join(n, "_b").where(F.col("value_norm").startswith(F.col(text))).drop("_b")
-    short_q = q.where(F.length(text) < block).withColumn("_b", F.substring(text, 1, 1))
-    narrow = short_q.join(names.withColumn("_b", F.substring("value_norm", 1, 1)), "_b").where(F.col("value_norm").startswith(F.col(text))).drop("_b")
-    return wide.union(narrow)
+#: A name is a row for each of its beginnings up to so many characters; longer queries meet on that many.
+BEGINNING = 8
+
+
+def beginnings(text: Column) -> Column:
+    """The text's first 1, 2, ... ``BEGINNING`` characters."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(BEGINNING), F.length(text)))), lambda n: F.substring(text, F.lit(1), n))
+
+
+def prefix_join(names: DataFrame, queries: DataFrame, text: str = "norm") -> DataFrame:
+    """Names that start with a query's text: an equality of beginnings, so that short queries alone meet many names."""
+    n = names.withColumn("_b", F.explode(beginnings(F.col("value_norm"))))
+    q = queries.where(F.length(text) > 0).withColumn("_b", F.substring(text, 1, BEGINNING))
+    return q.join(n, "_b").where(F.col("value_norm").startswith(F.col(text))).drop("_b")
 
 
 def infix_join(names: DataFrame, queries: DataFrame, text: str = "norm") -> DataFrame:
     """Names with a later word that starts with a query's first word, and the query's text from there."""
-    rows = names.select("*", F.posexplode(F.split("value_norm", " ")).alias("_at", "_w")).where("_at > 0").withColumn("_rest", F.expr("array_join(slice(split(value_norm, ' '), _at + 1, 1000), ' ')"))
-    q = queries.where(F.length(text) > 0).withColumn("_k", F.substring(text, 1, 1))
-    return q.join(rows.withColumn("_k", F.substring("_w", 1, 1)), "_k").where(F.col("_rest").startswith(F.col(text))).drop("_k", "_at", "_w", "_rest")
+    rows = names.select("*", F.posexplode(F.split("value_norm", " ")).alias("_at", "_w")).where("_at > 0").withColumn("_rest", F.expr("array_join(slice(split(value_norm, ' '), _at + 1, size(split(value_norm, ' '))), ' ')"))
+    q = queries.where(F.length(text) > 0).withColumn("_k", F.substring(text, 1, BEGINNING))
+    return q.join(rows.withColumn("_k", F.explode(beginnings(F.col("_rest")))), "_k").where(F.col("_rest").startswith(F.col(text))).drop("_k", "_at", "_w", "_rest")
 
 
 PREFIX, MOST_EDITS = 7, 2
@@ -132,16 +137,18 @@ def deletes(text: Column, edits: int = MOST_EDITS, prefix: int = PREFIX) -> Colu
     return every if edits < 2 else F.array_distinct(F.concat(every, less(F.array_distinct(one))))
 
 
-def edit_join(terms: DataFrame, queries: DataFrame, text: str = "norm", edits: int = MOST_EDITS, exact_distance=None, prefix: int = PREFIX) -> DataFrame:
+def edit_join(terms: DataFrame, queries: DataFrame, text: str = "norm", edits: int = MOST_EDITS, exact_distance=None, prefix: int = PREFIX, within: str | None = None) -> DataFrame:
     """(qid, term, distance) of the closest terms within ``edits`` edits, by symmetric deletes.
 
     Both sides are reduced to deletion strings of their first characters and joined on those; pairs are then
     checked. Terms: distinct ``term``. By default the distance is Levenshtein's, which Spark computes. A longer
-    ``prefix`` makes more keys of a string and fewer false pairs: right where many names begin alike.
+    ``prefix`` makes more keys of a string and fewer false pairs: right where many names begin alike. With
+    ``within``, a column of the terms, the closest are those of each of its values.
     """
-    t = terms.select("term", F.explode(deletes(F.col("term"), edits, prefix)).alias("key"))
+    part = [within] if within else []
+    t = terms.select("term", *part, F.explode(deletes(F.col("term"), edits, prefix)).alias("key"))
     q = queries.select("qid", F.col(text).alias("q"), F.explode(deletes(F.col(text), edits, prefix)).alias("key"))
-    pairs = q.join(t, "key").select("qid", "q", "term").distinct()
+    pairs = q.join(t, "key").select("qid", "q", "term", *part).distinct()
     pairs = pairs.withColumn("distance", F.levenshtein("q", "term", edits if exact_distance is None else 2 * edits)).where("distance >= 0")
     if exact_distance is None:
         close = pairs
@@ -151,8 +158,29 @@ def edit_join(terms: DataFrame, queries: DataFrame, text: str = "norm", edits: i
         unsure = (F.col("distance") > 2) | ((F.col("distance") == 2) & (letters("q") == letters("term")))
         checked = exact_distance(F.when(unsure, F.col("q")), F.when(unsure, F.col("term")))
         close = pairs.withColumn("distance", F.when(unsure, checked).otherwise(F.col("distance"))).where(f"distance between 0 and {edits}")
-    best = F.min("distance").over(Window.partitionBy("qid"))
-    return close.withColumn("best", best).where("distance = best").select("qid", "term", "distance")
+    best = F.min("distance").over(Window.partitionBy("qid", *part))
+    return close.withColumn("best", best).where("distance = best").select("qid", "term", *part, "distance")
+
+
+def iso3_to_iso2(g: EntityGraph) -> DataFrame:
+    """(iso3, iso2), upper case: the table that turns three-letter hints into two letters, from the graph's own codes."""
+    of = lambda s: g.codes.where(F.col("system") == s).select("entity_id", F.upper("value").alias(s))
+    return of("iso3").join(of("iso2"), "entity_id").select("iso3", "iso2").distinct()
+
+
+def union_first_seen(*lists: DataFrame) -> DataFrame:
+    """(qid, entity_id, place): ids of several lists (qid, entity_id, place), each id where it is seen first."""
+    every = reduce(DataFrame.union, [t.select("qid", "entity_id", F.struct(F.lit(i).alias("list"), F.col("place").alias("at")).alias("seen")) for i, t in enumerate(lists)])
+    first = every.groupBy("qid", "entity_id").agg(F.min("seen").alias("seen"))
+    return first.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy("seen", "entity_id"))).select("qid", "entity_id", "place")
+
+
+def valid_at(facts: DataFrame, key: str, day: str, relations: DataFrame) -> DataFrame:
+    """``facts`` with the relations (entity_id, ..., valid_from, valid_until) of their ``key`` that hold on their ``day``.
+
+    An interval join by equality of the key first, so that only a key's own intervals are compared with a day.
+    """
+    return facts.join(relations, facts[key] == relations["entity_id"]).where(active(F.col(day))).drop("valid_from", "valid_until")
 
 
 def iso_pivot(g: EntityGraph) -> DataFrame:

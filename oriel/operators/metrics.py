@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,19 +127,16 @@ def span_overlaps(gold: DataFrame, found: DataFrame) -> DataFrame:
     (doc_id, start, end, entity_id) each; gold spans without an entity mean that nothing should be linked there.
     Spans are matched in order of start and end within a document, whose spans are one task's work.
     """
-    from pyspark.sql import types as T
-
-    listed = lambda t, c: t.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "entity_id"))).alias(c))
-    both = listed(gold, "g").join(listed(found, "f"), "doc_id", "full").select("g", "f")
+    
+    side = lambda t, n: t.select("doc_id", "start", "end", "entity_id", F.lit(n).alias("side"))
+    names = ["tp", "fp", "fn", "exact", "nil_total", "nil_correct"]
 
-    @F.udf(T.ArrayType(T.LongType()), useArrow=False)
-    def match(g, f):
-        plain = lambda rows: [(r["start"], r["end"], r["entity_id"]) for r in rows or []]
-        return list(_match_spans(plain(g), plain(f)))
+    def match(of_document: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(of_document.column(c).to_pylist() for c in ("start", "end", "entity_id", "side")), strict=True), key=lambda r: (r[0], r[1], r[2] or ""))
+        return pa.table([pa.array([n], pa.int64()) for n in _match_spans(*([r[:3] for r in rows if r[3] == s] for s in (0, 1)))], names=names)
 
-    names = ["tp", "fp", "fn", "exact", "nil_total", "nil_correct"]
-    rows = both.select(match("g", "f").alias("m"))
-    c = rows.agg(*[F.sum(F.col("m")[i]).alias(n) for i, n in enumerate(names)])
+    each = side(gold, 0).union(side(found, 1)).groupBy("doc_id").applyInArrow(match, ", ".join(f"{n} long" for n in names))
+    c = each.agg(*[F.sum(n).alias(n) for n in names])
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     return c.select(

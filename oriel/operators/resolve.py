@@ -58,9 +58,13 @@ def pack_graph(g: EntityGraph, pack: Pack) -> EntityGraph:
     return EntityGraph(ids, g.names.join(keys, "entity_id", "left_semi"), g.codes.join(keys, "entity_id", "left_semi"), g.relations)
 
 
-def prepare(queries: DataFrame) -> DataFrame:
-    """(qid, text, norm): texts cut at 1,000 characters, placeholders and blanks out."""
-    cut = queries.select("qid", F.substring("text", 1, 1000).alias("text"))
+#: The longest query that is looked at, a feature of its own: a text field pasted whole is no name. A setting of the call.
+MOST_CHARACTERS = 1000
+
+
+def prepare(queries: DataFrame, most_characters: int = MOST_CHARACTERS) -> DataFrame:
+    """(qid, text, norm): texts cut at ``most_characters``, placeholders and blanks out."""
+    cut = queries.select("qid", F.substring("text", 1, most_characters).alias("text"))
     return cut.where(F.trim("text") != "").where(~text.is_sentinel(F.col("text"))).withColumn("norm", text.normalise(F.col("text"))).where("norm is not null")
 
 
@@ -117,12 +121,24 @@ def full_text(g: EntityGraph, q: DataFrame, pack: Pack) -> DataFrame:
     return evidence(hits.withColumn("matched", F.lit(None).cast("string")), "fts", 3, lookup.bm25_score(F.col("rank"), pack.bm25_steps), "fts", bm25=F.col("bm25"))
 
 
-def corrections(g: EntityGraph, q: DataFrame, pack: Pack) -> DataFrame:
-    """Names within two edits of the whole text; closer ones alone for texts of six characters or less."""
+#: Beginnings of the types of the small spelling index; the others (districts, cities) are the large one's.
+SMALL_TYPES = ("geo.country", "geo.admin1", "geo.region", "geo.subregion", "geo.continent", "geo.continental_union")
+
+
+def corrections(g: EntityGraph, q: DataFrame, pack: Pack, types: list[str] | None = None) -> DataFrame:
+    """Names within two edits of the whole text; closer ones alone for texts of six characters or less.
+
+    The closest are taken of small and of large geographic types each; of the small alone where ``types``, those
+    that a query is about, are all small.
+    """
     wanted = q.where((F.length("norm") >= 3) & text.code_shape(F.col("text")).isNull())
-    terms = g.names.select(F.col("value_norm").alias("term")).where(F.length("term") >= 2).distinct()
-    close = lookup.edit_join(terms, wanted, exact_distance=similarity.osa_distance, prefix=pack.prefix).join(wanted.select("qid", "norm"), "qid").where("term <> norm and (distance <= 1 or length(norm) > 6)")
-    hits = close.join(g.names.select("entity_id", "value", F.col("value_norm").alias("term")), "term")
+    tier = g.entities.select("entity_id", (~lookup.any_prefix(F.col("entity_type"), list(SMALL_TYPES)) & F.lit(pack.name == "geo")).alias("large"))
+    if types is not None and pack.name == "geo" and all(t.startswith(SMALL_TYPES) for t in types):
+        tier = tier.where("not large")
+    named = g.names.join(tier, "entity_id").select("entity_id", "value", "large", F.col("value_norm").alias("term"))
+    terms = named.select("term", "large").where(F.length("term") >= 2).distinct()
+    close = lookup.edit_join(terms, wanted, exact_distance=similarity.osa_distance, prefix=pack.prefix, within="large").join(wanted.select("qid", "norm"), "qid").where("term <> norm and (distance <= 1 or length(norm) > 6)")
+    hits = close.join(named, ["term", "large"])
     each = hits.groupBy("qid", "entity_id").agg(F.min("distance").alias("distance"), F.min("value").alias("matched"), F.min(F.length("norm")).alias("len"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "entity_id"))
     ranked = each.withColumn("rank", rank).where(F.col("rank") <= pack.budget)
@@ -179,7 +195,27 @@ def rerank(g: EntityGraph, cands: DataFrame, queries: DataFrame, pack: Pack) ->
     we, wt = pack.rerank
     scored = pairs.withColumn("e", similarity.ratio(F.col("norm"), F.col("value_norm"))).withColumn("t", similarity.token_set_ratio(F.col("norm"), F.col("value_norm")))
     best = open_.join(g.names.select("entity_id", "value_norm"), "entity_id").join(scored, ["norm", "value_norm"]).groupBy("qid", "entity_id").agg(F.max(F.struct((we * F.col("e") + wt * F.col("t")).alias("s"), "e", "t")).alias("x"))
-    return cands.join(best.select("qid", "entity_id", F.col("x.e").alias("fuzzy_edit_sim"), F.col("x.t").alias("fuzzy_token_sim")), ["qid", "entity_id"], "left")
+    return add_reranked(cands, best.select("qid", "entity_id", F.col("x.s").alias("rerank_score"), F.col("x.e").alias("fuzzy_edit_sim"), F.col("x.t").alias("fuzzy_token_sim")))
+
+
+def add_reranked(cands: DataFrame, reranked: DataFrame) -> DataFrame:
+    """Candidates with the reranker's similarities; its score replaces their best evidence only where it is greater."""
+    rows = cands.join(reranked, ["qid", "entity_id"], "left")
+    better = F.coalesce(F.col("rerank_score") > F.col("raw"), F.lit(False))
+    rows = rows.withColumn("best_source", F.when(better, "fuzzy").otherwise(F.col("best_source"))).withColumn("best_rank", F.when(better, 1).otherwise(F.col("best_rank")))
+    return rows.withColumn("raw", F.when(better, F.col("rerank_score")).otherwise(F.col("raw"))).drop("rerank_score")
+
+
+def prefix_fallback(g: EntityGraph, q: DataFrame, pack: Pack, discount: float = 0.8) -> DataFrame:
+    """Evidence by a text's first four characters, for use where there is no spelling index.
+
+    Entities with a word that begins so, those with fewer words first, then by id, within budget.
+    """
+    heads = q.select("qid", F.rtrim(F.substring("norm", 1, 4)).alias("norm")).where("norm <> ''")
+    hits = lookup.prefix_join(g.names, heads).select("qid", "entity_id", "value_norm").union(lookup.infix_join(g.names, heads).select("qid", "entity_id", "value_norm"))
+    each = hits.groupBy("qid", "entity_id").agg(F.min(F.struct(F.size(F.split("value_norm", " ")).alias("n"), "value_norm")).alias("b")).select("qid", "entity_id", "b.n", F.col("b.value_norm").alias("matched"))
+    ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("n", "entity_id"))).where(F.col("rank") <= pack.budget)
+    return evidence(ranked, "symspell", 4, discount * lookup.bm25_score(F.col("rank"), pack.bm25_steps), "fts" if pack.name == "geo" else "fallback")
 
 
 def score(g: EntityGraph, cands: DataFrame, queries: DataFrame, pack: Pack) -> DataFrame:

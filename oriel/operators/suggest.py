@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oriel.functions import similarity
@@ -15,6 +15,8 @@ from oriel.operators.lookup import infix_join, iter_names, prefix_join
 from oriel.session import workers_see_package
 from oriel.sources.graph import EntityGraph
 
+#: Tiers whose entities carry prominence.
+LIVE_TIERS = ("geo.country", "geo.subregion", "geo.region", "geo.continental_union", "geo.city", "geo.admin1", "geo.admin2", "geo.admin3", "geo.admin4", "geo.admin5")
 EXACT_PREFIX, TOKEN_PREFIX, INFIX, FUZZY = 0, 1, 2, 3
 RANKED_TIERS = ("geo.country", "geo.admin1", "geo.city")
 LEAST_PROMINENCE = 0.3
@@ -51,6 +53,14 @@ def suggest(g: EntityGraph, prefixes: DataFrame, top_k: int = 10, include: list[
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("qid", "text", "entity_id", F.col("k.match_class").alias("match_class"), F.col("k.matched").alias("matched"), F.col("k.typo_count").alias("typo_count"), "rank")
 
 
+def ranking_quality(entity_type: Column) -> Column:
+    """"ranked" for types of a tier that carries prominence, whether or not an entity has any; else "unranked"."""
+    live = F.lit(False)
+    for t in LIVE_TIERS:
+        live = live | (entity_type == t) | entity_type.startswith(t + ".")
+    return F.when(F.coalesce(live, F.lit(False)), "ranked").otherwise("unranked")
+
+
 def like_names(names: DataFrame, q: DataFrame, top_k: int) -> DataFrame:
     """Names whose partial ratio with the query is 0.7 or more, of all names at least half as long.
 

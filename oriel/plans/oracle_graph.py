@@ -65,6 +65,35 @@ asked(qid, text) AS (
 """
 
 
+def lcs(a: str, b: str) -> str:
+    """Length of the longest common subsequence: a row of bits, one step a character of ``b``; ``a`` has 60 characters at most."""
+    full = f"((1::BIGINT << length({a})) - 1)"
+    mask = f"coalesce(list_sum(list_transform(range(length({a})), lambda i_: CASE WHEN {a}[i_ + 1] = c_ THEN 1::BIGINT << i_ ELSE 0 END))::BIGINT, 0)"
+    masks = f"list_transform(string_split({b}, ''), lambda c_: {mask})"
+    return f"(length({a}) - bit_count(list_reduce(list_prepend({full}, {masks}), lambda s_, m_: ((s_ + (s_ & m_)) | (s_ - (s_ & m_))) & {full})))"
+
+
+def indel(a: str, b: str) -> str:
+    return f"(CASE WHEN length({a}) + length({b}) = 0 THEN 1 WHEN length({a}) = 0 OR length({b}) = 0 THEN 0 ELSE 2 * {lcs(a, b)} / (length({a}) + length({b})) END)::DOUBLE"
+
+
+def token_set(source: str, a: str, b: str, *keep: str) -> str:
+    """A query of ``source`` with its ``keep`` columns and ``token_set``."""
+    k = ", ".join(keep)
+    return f"""SELECT {k}, CASE WHEN len(x_) = 0 OR len(y_) = 0 THEN 0 WHEN base_ <> '' AND (left_ = base_ OR right_ = base_) THEN 1
+      WHEN base_ = '' THEN {indel('left_', 'right_')} ELSE greatest({indel('left_', 'right_')}, {indel('base_', 'left_')}, {indel('base_', 'right_')}) END AS token_set FROM (
+      SELECT *, array_to_string(w_, ' ') AS base_, array_to_string(list_concat(w_, u_), ' ') AS left_, array_to_string(list_concat(w_, v_), ' ') AS right_ FROM (
+      SELECT *, list_sort(list_filter(x_, lambda e_: list_contains(y_, e_))) AS w_, list_sort(list_filter(x_, lambda e_: NOT list_contains(y_, e_))) AS u_, list_sort(list_filter(y_, lambda e_: NOT list_contains(x_, e_))) AS v_ FROM (
+      SELECT *, list_distinct(list_filter(string_split({a}, ' '), lambda e_: e_ <> '')) AS x_, list_distinct(list_filter(string_split({b}, ' '), lambda e_: e_ <> '')) AS y_ FROM {source})))"""
+
+
+def partial(short: str, long: str) -> str:
+    """Best ratio of ``short`` with a window of ``long``."""
+    window = f"substr({long}, greatest(w_, 0) + 1, w_ + length({short}) - greatest(w_, 0))"
+    ratio = indel(short, "x_")
+    return f"(CASE WHEN length({short}) = 0 THEN (CASE WHEN length({long}) = 0 THEN 1 ELSE 0 END)::DOUBLE ELSE list_max(list_transform(range(1 - length({short}), length({long})), lambda w_: list_transform([{window}], lambda x_: {ratio})[1])) END)"
+
+
 def sql(body: str, *more: str) -> str:
     """A query over the graph; ``more`` are further table expressions."""
     return "WITH RECURSIVE " + ",\n".join([GRAPH.strip(), *more]) + "\n" + body

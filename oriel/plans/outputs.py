@@ -108,13 +108,6 @@ def j9_compound_correction(spark, d):
     return spelling.correct_compounds(custom_terms(spark, d), part_typos(spark, d))
 
 
-@query()
-def c6_fuzzy_retrieval(spark, d):
-    g = cascade.pack_graph(graph(spark, d), cascade.CUSTOM)
-    fixed = spelling.correct_words(custom_terms(spark, d), part_typos(spark, d))
-    return spelling.retrieve(g, fixed.groupBy(F.col("norm").alias("qid"), "norm").agg(F.min("corrected").alias("corrected")))
-
-
 @query(sql("""SELECT DISTINCT t AS text, lower(trim(t)) IN ('na', 'n/a', 'n.a.', 'none', 'unknown', '?', '-', '--', '.') AS degenerate, regexp_full_match(trim(t), '([A-Za-z]\\.){2,}[A-Za-z]?\\.?') AS initialism,
 translate(trim(t), '#/-_.,;:!?*|()[]{}''"` ', '') <> trim(t) AND length(translate(trim(t), '#/-_.,;:!?*|()[]{}''"` ', '')) <= 3 AND NOT regexp_matches(translate(trim(t), '#/-_.,;:!?*|()[]{}''"` ', ''), '[0-9]') AND NOT regexp_full_match(trim(t), '([A-Za-z]\\.){2,}[A-Za-z]?\\.?') AS noise
 FROM (SELECT value AS t FROM names UNION ALL SELECT value FROM codes UNION ALL SELECT substr(n_name, 1, 1) || '.' || substr(n_name, 2, 1) || '.' FROM nation UNION ALL SELECT '(' || value || ')' FROM codes WHERE system LIKE 'iso%' UNION ALL VALUES ('n/a'), ('--'), ('?'), (' NA '), ('a-b'))"""))
@@ -269,11 +262,11 @@ def d19_snap(spark, d):
     return cascade.snap(g, asked(spark, d), allowed, ["org"]).withColumn("confidence", F.round("confidence", 6))
 
 
-@query("SELECT x, CASE WHEN x <= 0.2 THEN 0.1 WHEN x < 0.5 THEN 0.1 + (x - 0.2) * (0.4 - 0.1) / (0.5 - 0.2) WHEN x < 0.9 THEN 0.4 + (x - 0.5) * (0.95 - 0.4) / (0.9 - 0.5) ELSE 0.95 END AS isotonic, 1 / (1 + exp(-(x * 1.5 + least(n / 20.0, 1) * 0.7 - 0.4))) AS logistic FROM (SELECT DISTINCT l_discount::DOUBLE * 10 AS x, CAST(l_quantity AS INT) AS n FROM lineitem)")
+@query("SELECT x, round(CASE WHEN x <= 0.2 THEN 0.1 WHEN x < 0.5 THEN 0.1 + (x - 0.2) * (0.4 - 0.1) / (0.5 - 0.2) WHEN x < 0.9 THEN 0.4 + (x - 0.5) * (0.95 - 0.4) / (0.9 - 0.5) ELSE 0.95 END, 9)::DOUBLE AS isotonic, round(1 / (1 + exp(-(x * 1.5 + least(n / 20.0, 1) * 0.7 - 0.4))), 9)::DOUBLE AS logistic FROM (SELECT DISTINCT l_discount::DOUBLE * 10 AS x, CAST(l_quantity AS INT) AS n FROM lineitem)")
 def d9_calibrators(spark, d):
     rows = table(spark, d, "lineitem").select((F.col("l_discount") * 10).alias("x"), F.col("l_quantity").cast("int").alias("query_len")).distinct()
     model = scoring.logistic({"x": 1.5, "query_len": 0.7}, -0.4)
-    return rows.select("x", scoring.isotonic(F.col("x"), [0.2, 0.5, 0.9], [0.1, 0.4, 0.95]).alias("isotonic"), model.alias("logistic"))
+    return rows.select("x", F.round(scoring.isotonic(F.col("x"), [0.2, 0.5, 0.9], [0.1, 0.4, 0.95]), 9).alias("isotonic"), F.round(model, 9).alias("logistic"))
 
 
 @query("""WITH f AS (SELECT l_returnflag = 'R' AS code, l_returnflag = 'A' AS name, l_linenumber = 1 AS ax, l_linenumber <= 2 AS ah, CASE WHEN l_discount > 0.03 THEN l_discount * 10 END AS tok, CASE WHEN l_tax > 0.02 THEN l_tax * 12 END AS bm FROM lineitem)

@@ -56,7 +56,9 @@ class EntityGraph:
         kinds = {"valid_from": "date", "valid_until": "date", "prominence": "double"}
         out = {}
         for name, columns in need.items():
-            t = spark.read.parquet(f"{path}/{name}")
+            # a table partitioned by type has no file to take its columns from while it is empty
+            reader = spark.read.schema("entity_id string, relation_type string, target_id string, valid_from date, valid_until date") if name == "relations" else spark.read
+            t = reader.parquet(f"{path}/{name}")
             out[name] = t.select(*[F.col(c) if c in t.columns else default.get(c, F.lit(None).cast(kinds.get(c, "string"))).alias(c) for c in columns])
         return EntityGraph(**out)
 
