@@ -17,10 +17,15 @@ SLICE_BYTES = 4 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Small Arrow batches, so that a few very long texts don't fill a worker's memory."""
+    """Small Arrow batches, so that a few very long texts don't fill a worker's memory; settings of the user's stay.
+
+    Plans read these settings when they run, so they can't be put back before the caller runs them.
+    """
     workers_see_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    own = spark.conf.getAll
+    for name, value in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 16 << 20)):
+        if f"spark.sql.execution.arrow.{name}" not in own:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(value))
 
 
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
