@@ -10,7 +10,10 @@ a row that share an anchor form a segment, and a corpus has one segment for some
    bytes at sampled splitters, and each bucket sorts its windows by multikey quicksort: by anchor and offset,
    then by one block of bytes after the other, going on only with runs of equal ones. A run that is left after
    the last block is checked byte by byte. Equal windows have equal leading bytes at their anchor, so a
-   splitter never falls between them; a gram with very many contents is divided by offset instead.
+   splitter never falls between them. Windows of a gram with very many contents aren't sorted: they are counted
+   by 128-bit hashes, which combine on the map side.
+
+A content hash of 64 bits is compared among segments of one 64-bit gram alone.
 """
 
 from __future__ import annotations
@@ -25,13 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oriel.llm.common import prepare, string_buffer, text_or_empty
-from oriel.session import materialise
+from oriel.session import materialise, release
 
 LENGTH = 400
 GRAM = 32
 #: Windows of a long text worked on at once; a text is cut there, segments too, which costs no match.
 PIECE = 1 << 19
-#: Contents of a gram that are sorted in one group.
+#: Contents of a gram that are sorted in one group; windows of grams with more are counted by hash.
 CONTENTS = 2000
 #: Windows sorted at once in a task, or one group's.
 BATCH_WINDOWS = 1 << 18
@@ -123,6 +126,47 @@ def _runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[cut], at[np.append(cut[1:], len(at)) - 1]
 
 
+def _fetched(batches: Iterator[pa.RecordBatch]):
+    """Of batches of (text, its segments): the bytes, where each segment starts in them, and (gram, content, c, x, n)."""
+    for batch in batches:
+        raw, ends = string_buffer(batch.column(0))
+        own = batch.column(1)
+        count = np.diff(own.offsets.to_numpy())
+        gram, content, c, s, x, n = (f.to_numpy() for f in own.flatten().flatten())
+        at = np.repeat(ends[:-1], count) + s
+        for i in range(0, len(at), 4096):
+            part = slice(i, i + 4096)
+            yield raw, at[part], tuple(v[part] for v in (gram, content, c, x, n))
+
+
+def _hot_runs(texts: DataFrame, length: int) -> DataFrame:
+    """(gram, content, lo, hi) of windows that repeat among very many contents of one gram.
+
+    Each window is a row of 128 bits of hash, and those met twice are found by an aggregation that combines on the
+    map side: no task holds a gram, and a third of the corpus may share one.
+    """
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_128_digest
+        for raw, at, (gram, content, c, _, n) in _fetched(batches):
+            for i in range(0, len(at), 256):
+                part = slice(i, i + 256)
+                m, start = n[part], at[part]
+                rel = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                view = memoryview(raw)
+                h = np.frombuffer(b"".join(digest(view[p : p + length]) for p in (np.repeat(start, m) + rel).tolist()), np.int64).reshape(-1, 2)
+                names = ["gram", "content", "c", "lo", "h1", "h2"]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(gram[part], m)), pa.array(np.repeat(content[part], m)), pa.array(np.repeat(c[part], m)), pa.array(rel.astype(np.int32)), pa.array(h[:, 0]), pa.array(h[:, 1])], names=names)
+
+    # copies of a row fetch a segment several times
+    windows = materialise(texts.mapInArrow(digests, "gram long, content long, c long, lo int, h1 long, h2 long").dropDuplicates(["gram", "content", "lo"]), "windows")
+    again = materialise(windows.groupBy("h1", "h2").agg(F.count("*").alias("k")).where("k > 1").select("h1", "h2"), "again")
+    found = windows.where("c = 1").join(again, ["h1", "h2"]).groupBy("gram", "content").agg(F.sort_array(F.collect_list("lo")).alias("lo"))
+    heads = F.filter("lo", lambda v: ~F.array_contains("lo", v - 1))
+    tails = F.filter("lo", lambda v: ~F.array_contains("lo", v + 1))
+    return found.select("gram", "content", F.explode(F.arrays_zip(heads.alias("lo"), tails.alias("hi"))).alias("r")).select("gram", "content", "r.lo", "r.hi")
+
+
 def repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, hash, start, end): byte spans of windows that start anywhere else too; doc and hash name the text."""
     spark = docs.sparkSession
@@ -155,38 +199,40 @@ def repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: st
     mixed = seen.where("mixed")
     contents = mixed.groupBy("gram", "content").agg(F.count("*").alias("c"), F.min(F.struct("doc", "hash", "s", "n", "x")).alias("at"))
     contents = materialise(contents.select("gram", "content", "c", "at.*"), "contents")
-    parts = contents.groupBy("gram").agg(F.least(F.ceil(F.count("*") / CONTENTS), F.lit(length)).cast("int").alias("parts")).where("parts > 1")
-    # offsets of a window's anchor run from 0 to length - GRAM; part p takes an equal share of them
-    cuts = contents.join(parts, "gram", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    share = F.ceil(F.lit(length) / F.col("parts")).cast("int")
-    first = F.greatest(F.col("x") - (F.col("p") + 1) * share + 1, F.lit(0))
-    last = F.least(F.col("x") - F.col("p") * share, F.col("n") - 1)
-    cuts = cuts.withColumn("first", first.cast("int")).withColumn("m", (last - first + 1).cast("int")).where("m > 0")
-    fetched = cuts.join(rows, ["doc", "hash"]).select(
-        "gram", "content", "p", "c", "first", "x", "m",
-        F.expr(f"substring(encode(t, 'UTF-8'), int(s + first + 1), m + {length - 1})").alias("bytes"),
-        F.expr(f"substring(encode(t, 'UTF-8'), int(s + x + 1), {GRAM})").alias("lead"),
-    )
-    # copies of a row (equal keys and texts) would fetch a segment several times
-    fetched = fetched.dropDuplicates(["gram", "content", "p"])
-    ordered = fetched.repartitionByRange("lead", "gram", "p").sortWithinPartitions("lead", "gram", "p").drop("lead")
+    # a table of its own, again: there is at most one such gram for CONTENTS rows of contents
+    hot = materialise(contents.groupBy("gram").agg(F.count("*").alias("k")).where(F.col("k") > CONTENTS).select("gram"), "hot")
+
+    def of_texts(part: DataFrame) -> DataFrame:
+        """(t, own): each text with the segments that are fetched from it, so that it is sent and decoded once."""
+        own = part.groupBy("doc", "hash").agg(F.collect_list(F.struct("gram", "content", "c", "s", "x", "n")).alias("own"))
+        return rows.join(own, ["doc", "hash"]).select("t", "own")
+
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for raw, at, (gram, content, c, x, n) in _fetched(batches):
+            piece = pa.array([raw[i : i + k + length - 1].tobytes() for i, k in zip(at.tolist(), n.tolist(), strict=True)], pa.binary())
+            lead = pa.array([raw[i : i + GRAM].tobytes() for i in (at + x).tolist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(content), pa.array(c), pa.array(x), pa.array(n), piece, lead], names=["gram", "content", "c", "x", "n", "bytes", "lead"])
+
+    fetched = of_texts(contents.join(hot, "gram", "left_anti")).mapInArrow(cut_out, "gram long, content long, c long, x int, n int, bytes binary, lead binary")
+    ordered = fetched.repartitionByRange("lead", "gram").sortWithinPartitions("lead", "gram", "content").drop("lead")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(held).combine_chunks()
-            gram, content, p, c, first, x, m = (t.column(i).to_numpy() for i in range(7))
-            raw, ends = string_buffer(t.column(7).chunk(0))
-            row = np.repeat(np.arange(len(gram)), m)
-            rel = np.arange(len(row)) - np.repeat(np.cumsum(m) - m, m)
-            new = np.append(True, (gram[1:] != gram[:-1]) | (p[1:] != p[:-1]))
-            group = np.cumsum(new)[row] * np.int64(1024) + (x[row] - first[row] - rel)
+            gram, content, c, x, n = (t.column(i).to_numpy() for i in range(5))
+            raw, ends = string_buffer(t.column(5).chunk(0))
+            # copies of a row (equal keys and texts) fetch a segment several times
+            own = np.flatnonzero(np.append(True, (gram[1:] != gram[:-1]) | (content[1:] != content[:-1])))
+            row = np.repeat(own, n[own])
+            rel = np.arange(len(row)) - np.repeat(np.cumsum(n[own]) - n[own], n[own])
+            group = np.cumsum(np.append(True, gram[1:] != gram[:-1]))[row] * np.int64(1024) + (x[row] - rel)
             again = repeated_windows(raw, ends[row] + rel, group, length)
             again &= c[row] == 1  # of other contents every window repeats anyway
             code = np.flatnonzero(again)
             if len(code):
-                lo, hi = _runs(row[code].astype(np.int64) * 4096 + first[row[code]] + rel[code])
+                lo, hi = _runs(row[code].astype(np.int64) * 4096 + rel[code])
                 r = lo // 4096
                 yield pa.RecordBatch.from_arrays([pa.array(gram[r]), pa.array(content[r]), pa.array((lo % 4096).astype(np.int32)), pa.array((hi % 4096).astype(np.int32))], names=["gram", "content", "lo", "hi"])
 
@@ -194,12 +240,12 @@ def repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: st
         for batch in batches:
             if not batch.num_rows:
                 continue
-            gram, p = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            cut_at = np.append(0, np.flatnonzero((gram[1:] != gram[:-1]) | (p[1:] != p[:-1])) + 1)
-            size = np.add.reduceat(batch.column(6).to_numpy(), cut_at)
+            gram = batch.column(0).to_numpy()
+            cut_at = np.append(0, np.flatnonzero(gram[1:] != gram[:-1]) + 1)
+            size = np.add.reduceat(batch.column(4).to_numpy(), cut_at)
             begin = 0
             for i, (at, n) in enumerate(zip(cut_at.tolist(), size.tolist(), strict=True)):
-                joins = i == 0 and held and held[-1].column(0)[-1].as_py() == gram[0] and held[-1].column(2)[-1].as_py() == p[0]
+                joins = i == 0 and held and held[-1].column(0)[-1].as_py() == gram[0]
                 if waiting and waiting + n > BATCH_WINDOWS and not joins:
                     if at > begin:
                         held.append(batch.slice(begin, at - begin))
@@ -212,8 +258,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: st
             yield from flush()
 
     sorted_runs = ordered.mapInArrow(sort, "gram long, content long, lo int, hi int")
+    if not hot.isEmpty():
+        sorted_runs = sorted_runs.union(_hot_runs(of_texts(contents.join(hot, "gram")), length))
     twice = contents.where("c > 1").select("gram", "content", F.lit(0).alias("lo"), (F.col("n") - 1).alias("hi"))
     runs = materialise(sorted_runs.union(twice), "runs")
+    release(found, contents, hot)
     some = mixed.join(runs, ["gram", "content"]).select("doc", "hash", (F.col("s") + F.col("lo")).alias("start"), (F.col("s") + F.col("hi") + length).alias("end"))
     return whole.union(some)
 
