@@ -36,7 +36,7 @@ def op3_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_benchmark_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), short_items=True)
 
 
 def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

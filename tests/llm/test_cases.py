@@ -93,9 +93,9 @@ def test_each_stage_takes_odd_rows(spark, odd, stage):
         assert len(rows) == odd.count()
 
 
-def plain_tiles(p, t, least=5):
+def plain_tiles(p, t, least=5, count=False):
     """Greedy string tiling as published: the longest match of unmarked words first, found by trying all."""
-    mp, mt, covered = [False] * len(p), [False] * len(t), 0
+    mp, mt, covered, n = [False] * len(p), [False] * len(t), 0, 0
     while True:
         best = (0, 0, 0)
         for i in range(len(p)):
@@ -107,9 +107,10 @@ def plain_tiles(p, t, least=5):
                     best = (k, i, j)
         k, i, j = best
         if k < least:
-            return covered
+            return (covered, n) if count else covered
         mp[i : i + k], mt[j : j + k] = [True] * k, [True] * k
         covered += k
+        n += 1
 
 
 def plain_mix(docs):
