@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oriel.session import materialise
+from oriel.session import materialise, release
 
 
 def local_roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -46,7 +46,8 @@ def connected(links: DataFrame) -> DataFrame:
         down = large.distinct()
         small_low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(small_low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        edges = materialise(small, "links")
+        before, edges = edges, materialise(small, "links")
+        release(before)
         # stars are finished when every node has one parent and no parent has one
         children = edges.groupBy("a").agg(F.count("*").alias("n"))
         open_links = children.where("n > 1").select("a").limit(1).union(edges.select(F.col("b").alias("a")).join(children.select("a"), "a", "left_semi").limit(1))

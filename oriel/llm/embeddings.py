@@ -12,16 +12,17 @@ from pyspark.sql import functions as F
 
 from oriel.llm.common import prepare
 from oriel.llm.components import connected, local_roots
-from oriel.session import materialise
+from oriel.session import materialise, release
 
 #: Bucket width of a projection, in units of the distance between normalised vectors.
 WIDTH = 2.5
 #: Chance that a pair exactly at the threshold is in no common bucket of any table.
 MISS = 1e-3
-#: Rows that a vector may expect to meet by chance in one bucket.
-MEET = 256
+#: Rows that a vector may expect to meet by chance in one bucket. Each table ships the vectors, so larger buckets
+#: (shorter keys, fewer tables) trade cheap products of matrices for dear shuffles: 12 tables at 50,000 rows, not 29.
+MEET = 4096
 #: Members of a bucket compared in one task group; larger buckets are divided into blocks, and all pairs of blocks.
-BLOCK = 4096
+BLOCK = 8192
 
 
 def collision(distance: float, width: float = WIDTH) -> float:
@@ -116,10 +117,17 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id"
     def compare(t: int, same: bool, own: np.ndarray, lo: int, ids: np.ndarray, n: np.ndarray, keys: np.ndarray, x: np.ndarray):
         left = np.arange(len(ids)) if same else np.flatnonzero(own == lo)
         right = left if same else np.flatnonzero(own != lo)
+        single = x.astype(np.float32)
+        unsure = (x.shape[1] + 4) * 1.2e-7  # more than single precision can be off; what lies within is done in double
         links, a, b = np.zeros(len(ids), np.int64), [], []
         for i in range(0, len(left), 512):
             at = left[i : i + 512]
-            close = x[at] @ x[right].T >= threshold
+            cosine = single[at] @ single[right].T
+            close = cosine >= threshold
+            r, c = np.nonzero(np.abs(cosine - threshold) <= unsure)
+            for j in range(0, len(r), 8192):
+                p, q = r[j : j + 8192], c[j : j + 8192]
+                close[p, q] = np.einsum("ij,ij->i", x[at[p]], x[right[q]]) >= threshold
             if same:
                 close[np.arange(len(at)), np.arange(i, i + len(at))] = False
             for earlier in range(t):  # a pair that met before was counted there
@@ -182,6 +190,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id"
             yield from flush()
 
     found = materialise(placed.mapInArrow(run, "a long, b long, links long"), "found")
+    release(hashed)
     counts = found.where("b = -1 and links > 0").groupBy("a").agg(F.sum("links").alias("links"))
     joined = connected(found.where("links = 0").select("a", "b"))
     known = (
