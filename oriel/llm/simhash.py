@@ -21,8 +21,8 @@ from oriel.llm.components import connected, local_roots
 from oriel.session import materialise
 
 RADIUS = 3
-#: Fingerprints compared at once; larger buckets are divided by the bits that their key leaves out.
-DENSE = 2048
+#: Fingerprints of a bucket that are compared in one task; larger buckets are divided, see ``bucket_links``.
+DENSE = 4096
 #: Shingles hashed at once; counts are added up over a text's pieces.
 PIECE = 1 << 16
 
@@ -70,74 +70,79 @@ def fingerprints(docs: DataFrame, width: int = 3, key: str = "doc_id", text: str
     return docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInArrow(run, f"k {kind}, fp long").withColumnRenamed("k", key)
 
 
-def close_pairs(fps: np.ndarray, mask: int, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Links (left, right) that join all members of a bucket within ``radius`` bits, each component of them whole.
-
-    ``fps`` agree under ``mask``. A dense bucket is divided by radius + 1 groups of the other bits: one of
-    them is equal in any close pair. Links between members already joined are left out.
-    """
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def compare(at: np.ndarray) -> None:
-        own = fps[at]
-        for i in range(0, len(at), DENSE):
-            for j in range(i, len(at), DENSE):
-                close = np.bitwise_count(own[i : i + DENSE, None] ^ own[None, j : j + DENSE]) <= radius
-                left, right = np.nonzero(np.triu(close, 1) if i == j else close)
-                if len(left):
-                    root = local_roots(2 * DENSE, left, right + (0 if i == j else DENSE))
-                    node = np.flatnonzero(root != np.arange(len(root)))
-                    place = np.concatenate([at[i : i + DENSE], np.zeros(DENSE - len(at[i : i + DENSE]), np.int64), at[j : j + DENSE], np.zeros(DENSE - len(at[j : j + DENSE]), np.int64)])
-                    found.append((place[root[node]], place[node]))
-
-    if len(fps) <= DENSE:
-        compare(np.arange(len(fps)))
-    else:
-        free = [i for i in range(64) if not mask >> i & 1]
-        for part in range(radius + 1):
-            bits = np.uint64(sum(1 << i for i in free[part :: radius + 1]))
-            order = np.argsort(fps & bits, kind="stable")
-            own = (fps & bits)[order]
-            cuts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-            for a, b in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
-                if b - a > 1:
-                    compare(order[a:b])
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+def close_pairs(fps: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join all pairs of ``left`` x ``right`` (places in ``fps``) within ``radius`` bits: a forest, not the pairs."""
+    root = np.arange(len(fps))
+    for i in range(0, len(left), 512):
+        at = left[i : i + 512]
+        r, c = np.nonzero(np.bitwise_count(fps[at, None] ^ fps[None, right]) <= radius)
+        new = root[at[r]] != root[right[c]]
+        if new.any():
+            root = local_roots(len(fps), np.append(np.arange(len(fps)), at[r[new]]), np.append(root, right[c[new]]))
+    node = np.flatnonzero(root != np.arange(len(root)))
+    return root[node], node
 
 
 def bucket_links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links (a, b) between the ids of (fp, id) rows with distinct fp: enough to join all pairs within ``radius``.
 
-    Each bucket gives a forest, fewer links than members, not its pairs.
+    Each bucket gives a forest, fewer links than members, not its pairs. A bucket of more than ``DENSE`` is
+    divided before it reaches a task: by each of radius + 1 groups of the bits that its key leaves out, one of
+    which is equal in any close pair; what is still larger is dealt to pairs of blocks.
     """
     masks = covering_masks(radius)
+    free = [[i for i in range(64) if not m >> i & 1] for m in masks]
+    shares = F.array(*[F.array(*[F.lit(signed(sum(1 << i for i in f[part :: radius + 1]))) for part in range(radius + 1)]) for f in free])
     keys = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for t, m in enumerate(masks)]))
     rows = classes.select("fp", "id", keys.alias("x")).select("x.t", "x.key", "fp", "id")
-    placed = rows.repartition("t", "key").sortWithinPartitions("t", "key")
-
-    def links_of(t: np.ndarray, key: np.ndarray, fp: np.ndarray, ids: np.ndarray):
-        new = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (key[1:] != key[:-1])))
-        ends = np.append(new[1:], len(t))
+    # tables of their own: their size is known, and one row stands for more than DENSE fingerprints
+    large = materialise(rows.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > DENSE).select("t", "key"), "large")
+    none = F.lit(0)
+    small = rows.join(large, ["t", "key"], "left_anti").select("t", "key", F.lit(-1).alias("part"), none.cast("long").alias("bits"), none.alias("lo"), none.alias("hi"), none.alias("own"), "fp", "id")
+    if large.isEmpty():
+        parts = small
+    else:
+        divided = rows.join(large, ["t", "key"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(radius))))
+        divided = divided.withColumn("bits", F.col("fp").bitwiseAND(shares[F.col("t")][F.col("part")]))
+        place = ["t", "key", "part", "bits"]
+        crowds = materialise(divided.groupBy(*place).agg(F.ceil(F.count("*") / DENSE).cast("int").alias("blocks")).where("blocks > 1"), "crowds")
+        dealt = divided.join(crowds, place, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        parts = small.union(dealt.select(*place, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "fp", "id"))
+    place = ["t", "key", "part", "bits", "lo", "hi"]
+    placed = parts.repartition(*place).sortWithinPartitions(*place)
+
+    def links_of(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        change = np.zeros(len(columns[0]) - 1, bool)
+        for c in columns[:6]:
+            change |= c[1:] != c[:-1]
+        new = np.append(0, np.flatnonzero(change) + 1)
+        ends = np.append(new[1:], len(columns[0]))
+        lo, own, fp, ids = columns[4], columns[6], columns[7].view(np.uint64), columns[8]
         for a, b in zip(new[ends - new > 1], ends[ends - new > 1], strict=True):
-            left, right = close_pairs(fp[a:b].view(np.uint64), masks[t[a]], radius)
+            first = own[a:b] == lo[a]
+            every = np.arange(b - a)
+            left, right = (every, every) if first.all() else (every[first], every[~first])
+            left, right = close_pairs(fp[a:b], left, right, radius)
             if len(left):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][left], pa.int64()), pa.array(ids[a:b][right], pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []  # the last bucket so far: 28 bytes a distinct fingerprint
+        held: list[list[np.ndarray]] = []  # the last group so far, of two blocks at most
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [batch.column(i).to_numpy() for i in range(4)]
-            last = len(now[0]) - int(np.argmax(((now[0] != now[0][-1]) | (now[1] != now[1][-1]))[::-1])) if ((now[0] != now[0][-1]) | (now[1] != now[1][-1])).any() else 0
+            now = [batch.column(i).to_numpy() for i in range(9)]
+            other = np.zeros(batch.num_rows, bool)
+            for c in now[:6]:
+                other |= c != c[-1]
+            last = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
             if last:
-                yield from links_of(*(np.concatenate(x) for x in zip(*held, [c[:last] for c in now], strict=True)))
+                yield from links_of([np.concatenate(x) for x in zip(*held, [c[:last] for c in now], strict=True)])
                 held = []
             held.append([c[last:] for c in now])
         if held:
-            yield from links_of(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield from links_of([np.concatenate(x) for x in zip(*held, strict=True)])
 
     return placed.mapInArrow(run, "a long, b long")
 
