@@ -33,7 +33,6 @@ PREFIXES = (4, 5, 6, 7)
 #: A mined feature occurs in so many toxic training texts at least, with such a z-score of its log odds, and
 #: such a share of the training texts that hold it are toxic.
 LEAST_TOXIC, LEAST_Z, LEAST_SHARE = 3, 3.5, 0.7
-MOST_FEATURES = 4000
 #: Words that a worker remembers before it starts anew; a cache only.
 MEMORY_WORDS = 100_000
 GROUPS_PER_KIND = 3
@@ -228,7 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     z = (np.log((d1 + 0.5) / (n1 - d1 + 0.5)) - np.log((d0 + 0.5) / (n0 - d0 + 0.5))) / np.sqrt(1 / (d1 + 0.5) + 1 / (d0 + 0.5))
     hashes, kinds = rows["h"].to_numpy(np.int64), rows["kind"].to_numpy(np.int64)
     good = np.flatnonzero((z >= LEAST_Z) & (d1 >= LEAST_SHARE * (d1 + d0)))
-    good = good[np.lexsort((hashes[good], -z[good]))][:MOST_FEATURES]
+    good = good[np.lexsort((hashes[good], -z[good]))]  # as many as the bounded sample has words for
     model = Model({int(h): i for i, h in enumerate(hashes[good])}, 2 + kinds[good] * GROUPS_PER_KIND + hashes[good] % GROUPS_PER_KIND, np.zeros(len(good) + 4))
     sent = spark.sparkContext.broadcast(model)
 
