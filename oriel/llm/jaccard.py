@@ -1,7 +1,8 @@
 """Groups of texts whose sets of word shingles have a Jaccard similarity of 0.8 or more.
 
-MinHash bands propose, an exact comparison of the sets decides. Texts that share a band key, directly or through
-others, form a cluster; every text goes to its cluster once (to each pair of blocks, where a cluster is large), and
+SimHash fingerprints of the sets and MinHash bands propose, an exact comparison of the sets decides. The covering masks
+of ``simhash`` find every pair within 3 bits; but at a similarity of 0.8 some 10 of 64 bits differ, and to cover those
+would take over a million masks, so the bands find the others. Texts that meet, directly or through others, form a cluster; every text goes to its cluster once (to each pair of blocks, where a cluster is large), and
 there all pairs that aren't joined yet are compared.
 """
 
@@ -15,6 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from oriel.llm import simhash
 from oriel.llm.common import prepare, string_buffer
 from oriel.llm.components import connected
 from oriel.session import materialise
@@ -66,23 +68,32 @@ def band_keys(members: np.ndarray) -> np.ndarray:
     return keys
 
 
+def majority(members: np.ndarray) -> int:
+    """The set's SimHash fingerprint: bits that more than half of its hashes have."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(members), 1 << 16):
+        ones += np.unpackbits(members[i : i + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(members)).view(">i8")[0])
+
+
 def sketches(rows: DataFrame, text: str, width: int = WIDTH) -> DataFrame:
-    """(row, same, keys): ``same`` is equal for equal sets; texts without words have no keys. Nulls count as empty."""
+    """(row, same, fp, keys): ``same`` is equal for equal sets; texts without words have no keys. Nulls count as empty."""
     prepare(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, ends = string_buffer(batch.column(1))
-            same, keys = [], []
+            same, fps, keys = [], [], []
             for a, b in zip(ends[:-1], ends[1:], strict=True):
                 members = shingles(raw[a:b].tobytes(), width)
                 same.append(xxhash.xxh128_digest(members.tobytes()))
+                fps.append(majority(members))
                 keys.append(band_keys(members).view(np.int64) if len(members) else np.zeros(0, np.int64))
             offsets = np.append(0, np.cumsum([len(k) for k in keys])).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), lists], names=["row", "same", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(fps, pa.int64()), lists], names=["row", "same", "fp", "keys"])
 
-    return rows.select("_row", F.col(text).cast("string")).mapInArrow(run, "row long, same binary, keys array<long>")
+    return rows.select("_row", F.col(text).cast("string")).mapInArrow(run, "row long, same binary, fp long, keys array<long>")
 
 
 def close_sets(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -151,10 +162,13 @@ def groups(rows: DataFrame, text: str = "text", width: int = WIDTH) -> DataFrame
     Equal sets are one class, those of texts without words too; a class costs one row in the search.
     """
     sketched = materialise(sketches(rows, text, width), "sketches")
-    classes = materialise(sketched.groupBy("same").agg(F.min("row").alias("id"), F.first("keys").alias("keys")), "classes")
+    classes = materialise(sketched.groupBy("same").agg(F.min("row").alias("id"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "classes")
     keyed = classes.select("id", F.explode("keys").alias("key"))
     heads = keyed.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
-    clusters = materialise(connected(keyed.join(heads, "key").select("a", F.col("id").alias("b"))), "clusters")
+    prints = materialise(classes.where(F.size("keys") > 0).groupBy("fp").agg(F.min("id").alias("id"), F.count("*").alias("n")), "prints")
+    equal = classes.where(F.size("keys") > 0).select("fp", F.col("id").alias("b")).join(prints.where("n > 1").select("fp", F.col("id").alias("a")), "fp").select("a", "b")
+    met = keyed.join(heads, "key").select("a", F.col("id").alias("b")).union(equal).union(simhash.bucket_links(prints.select("fp", "id")))
+    clusters = materialise(connected(met), "clusters")
     members = clusters.join(rows.select(F.col("_row").alias("node"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")), "node")
     joined = connected(set_links(members.select(F.col("component").alias("cluster"), F.col("node").alias("row"), "t"), width))
     of = classes.join(joined.select(F.col("node").alias("id"), "component"), "id", "left").select("same", F.coalesce("component", "id").alias("component"))

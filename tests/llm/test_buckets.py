@@ -28,7 +28,7 @@ def test_links_of_dense_buckets(spark, monkeypatch, dense):
     classes = spark.createDataFrame(list(zip(fps.view(np.int64).tolist(), range(len(fps)), strict=True)), "fp long, id long")
     links = simhash.bucket_links(classes).collect()
     a, b = np.array([(r.a, r.b) for r in links]).T
-    assert (np.bitwise_count(fps[a] ^ fps[b]) <= 64).all() and (want[a] == want[b]).all()
+    assert (want[a] == want[b]).all()
     assert (components.local_roots(len(fps), a, b) == want).all()
 
 

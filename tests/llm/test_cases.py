@@ -10,8 +10,8 @@ import zlib
 import numpy as np
 import pytest
 
-from oriel.llm import components, embeddings, idfile, mixing, queries, sharding, simhash, suffixes, tiling, tokens, toxicity, warc
-from tests.llm.test_llm import plain_fingerprint
+from oriel.llm import embeddings, idfile, mixing, queries, sharding, simhash, suffixes, tiling, tokens, toxicity, warc
+from tests.llm.test_jaccard import plain_roots
 
 SF = "/root/testdata/sf0.001"
 LONG = " ".join(f"word{i % 977}" for i in range(60_000))
@@ -151,9 +151,7 @@ def test_pipeline_against_brute_force(spark):
     docs = [d for d in docs if model.score(d["text"] or "") < 0.5]
 
     docs.sort(key=lambda d: d["doc_id"])
-    fp = np.array([plain_fingerprint(d["text"]) for d in docs], np.uint64)
-    left, right = np.nonzero(np.triu(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 3, 1))
-    root = components.local_roots(len(docs), left, right)
+    root, _ = plain_roots([d["text"] for d in docs])
     docs = [d for i, d in enumerate(docs) if root[i] == i]
 
     words = lambda t: re.findall(r"\w+", (t or "").lower())
