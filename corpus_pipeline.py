@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from oriel.llm import idfile, jaccard, mixing, tiling, toxicity
 from oriel.llm.common import with_plain_names
 from oriel.llm.queries import tokenizer_path
-from oriel.session import materialise, table, workers_see_package
+from oriel.session import materialise, release, table, workers_see_package
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,6 +25,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Of each near-duplicate group one row, that with the smallest id (then text hash); rows without an id stay.
 
     Texts are linked when their sets of 5-word shingles have a Jaccard similarity of 0.8 or more; equal ids link nothing.
+    SimHash's covering masks and MinHash bands find the pairs that are compared.
     """
     workers_see_package(spark)
 
@@ -71,6 +72,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    done = None
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs, before = materialise(stage(spark, docs, sf_dir), f"stage-{name}"), done
+        if before is not None:
+            release(before)
+        done = docs
     return docs
