@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oriel.llm.common import keep_columns, text_or_empty
+from oriel.session import materialise
 
 MULTIPLIER = 2862933555777941757
 LOW32 = 0xFFFFFFFF
@@ -59,7 +60,7 @@ def shard_rows(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str
     so that no task holds a shard. Only narrow rows are grouped and sorted when ``docs`` has no more columns.
     """
     long_key = F.coalesce(F.col(key).cast("long"), F.lit(0).cast("long"))
-    rows = keep_columns(docs, "size", "text_crc32", "law", "shard", "slot", "grown_shard", "_jump", "_group", "_before", "_rows")
+    rows = keep_columns(docs, "size", "text_crc32", "law", "shard", "slot", "grown_shard", "_jump", "_group", "_salt", "_salts", "_before", "_rows")
     body = F.encode(text_or_empty(text), "UTF-8")
     jump = F.col("_jump")
     placed = (
@@ -76,9 +77,18 @@ def shard_rows(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str
     groups = max(1, docs.count() // (shards * SLOT_GROUP_ROWS) + 1)
     placed = placed.withColumn("_group", F.pmod(F.xxhash64(key, "text_crc32", "size"), F.lit(groups)).cast("int"))
     counts = placed.groupBy("shard", "_group").agg(F.count("*").alias("_rows"))
-    before = F.sum("_rows").over(Window.partitionBy("shard").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select("shard", "_group", F.coalesce(before, F.lit(0)).alias("_before"))
-    number = F.row_number().over(Window.partitionBy("shard", "_group").orderBy(F.col(key).asc_nulls_first(), "text_crc32", "size")) - 1
-    out = placed.join(offsets, ["shard", "_group"]).withColumn("slot", F.col("_before") + number)
+    # a group that is far too large can only hold rows of one key and text: any order among them will do
+    heavy = counts.where(F.col("_rows") > 4 * SLOT_GROUP_ROWS).select("shard", "_group", F.ceil(F.col("_rows") / SLOT_GROUP_ROWS).cast("int").alias("_salts"))
+    heavy = materialise(heavy, "heavy")
+    if heavy.isEmpty():
+        placed = placed.withColumn("_salt", F.lit(0))
+    else:
+        placed = placed.withColumn("_salt", F.monotonically_increasing_id()).join(heavy, ["shard", "_group"], "left")
+        placed = placed.withColumn("_salt", F.pmod("_salt", F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    counts = placed.groupBy("shard", "_group", "_salt").agg(F.count("*").alias("_rows"))
+    before = F.sum("_rows").over(Window.partitionBy("shard").orderBy("_group", "_salt").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("shard", "_group", "_salt", F.coalesce(before, F.lit(0)).alias("_before"))
+    number = F.row_number().over(Window.partitionBy("shard", "_group", "_salt").orderBy(F.col(key).asc_nulls_first(), "text_crc32", "size")) - 1
+    out = placed.join(offsets, ["shard", "_group", "_salt"]).withColumn("slot", F.col("_before") + number)
     first = [key, "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     return out.select(*first, *[c for c in rows.columns if c not in {key, text}])
