@@ -181,7 +181,8 @@ def normalise_files(files: DataFrame, source: str, path: str) -> DataFrame:
     Index: file, offset, length, record_type, record_id, page_id. A file is one task's work, as its stream can
     only be read from the start.
     """
-    spread = files.repartition(max(1, files.count()), "file")
+    # dealt in turn from one short list of names, so that no task gets two while another has none
+    spread = files.coalesce(1).repartition(max(1, files.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = file_system(path)
