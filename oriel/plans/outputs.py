@@ -8,7 +8,7 @@ from oriel.functions import scoring, text
 from oriel.operators import build, calibration, etl, explain, linking, metrics, output, parse, spelling, suggest
 from oriel.operators import resolve as cascade
 from oriel.plans.oracle_graph import squeeze, sql
-from oriel.plans.queries import HITS, NORM, SUGGEST, TERMS, TYPOS, WORDS_SQL, asked, graph, hits, query, scored, words_graph
+from oriel.plans.queries import HITS, NORM, RESOLVED, SUGGEST, TERMS, TYPOS, WORDS_SQL, asked, graph, hits, query, scored, words_graph
 from oriel.session import scratch, table
 from oriel.sources import packs
 from oriel.streaming import resolve as streams
@@ -247,7 +247,8 @@ def d18_enriched(spark, d):
     return rows.select("qid", "pos", "c.entity_id", "c.canonical_name", "c.entity_type", "c.parent_name", "type_hint")
 
 
-@query()
+@query(sql("""SELECT qid, max(CASE WHEN place = 1 THEN entity_id || ' ' || printf('%.3f', s) || ' by ' || CASE s WHEN 0.95 THEN 'exact_code' WHEN 0.92 THEN 'exact_name' ELSE 'acronym' END END)
+|| coalesce('; also ' || string_agg(CASE WHEN place > 1 THEN entity_id || ' ' || printf('%.3f', s) END, ', ' ORDER BY place), '') AS line FROM ranked WHERE place <= 6 GROUP BY qid""", *RESOLVED))
 def explain_scorecards(spark, d):
     g = cascade.pack_graph(graph(spark, d), cascade.ORG)
     q = cascade.prepare(asked(spark, d))
