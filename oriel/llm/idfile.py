@@ -26,6 +26,8 @@ from oriel.session import scratch
 
 MAGIC = b"OBPLANE1"
 BLOCK_IDS = 1 << 16
+#: Text bytes encoded at once; encoding takes some 40 times as much memory for its tables of code points.
+ENCODED_BYTES = 1 << 20
 
 
 def to_planes(ids: np.ndarray, mode: str) -> list[np.ndarray]:
@@ -134,6 +136,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, mode:
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # what tasks before this one left in the worker
         bpe, part, writer = shared(ByteBpe, tokenizer), TaskContext.get().partitionId(), None
         name = f"part-{part:06d}-{uuid.uuid4().hex[:8]}.obp"
         for batch in batches:
@@ -143,7 +146,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, mode:
                 system.create_dir(base, recursive=True)
                 writer = PlaneWriter(system.open_output_stream(f"{base}/{name}", compression=None), mode, block)
             counts, at = [], writer.total
-            for row, rows in slices(column):
+            for row, rows in slices(column, ENCODED_BYTES):
                 ids, n = bpe.encode(column.slice(row, rows))
                 ends = np.cumsum(n)
                 writer.add(np.insert(ids, ends, end_id))  # the end id goes behind each document
