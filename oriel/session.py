@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
+#: Paths that ``scratch`` gave out, for each open ``step``.
+_steps: list[list[str]] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one table of a data folder with Spark's own reader."""
@@ -44,7 +50,10 @@ def shared_root(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder; nothing is created yet."""
-    return f"{shared_root(spark)}/oriel/{label}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_root(spark)}/oriel/{label}-{uuid.uuid4().hex[:12]}"
+    for made in _steps:
+        made.append(path)
+    return path
 
 
 def materialise(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
@@ -72,3 +81,23 @@ def discard(spark: SparkSession, path: str) -> None:
         raise ValueError(f"not a scratch path: {path}")
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+@contextmanager
+def step(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Delete what is written to the shared folder inside, but for the tables that are put into the list.
+
+    The JVM is asked to collect garbage too: Spark deletes the shuffle files of finished queries once it notices
+    that nothing refers to them, which in a driver with memory to spare may be long after.
+    """
+    kept: list[DataFrame] = []
+    made: list[str] = []
+    _steps.append(made)
+    try:
+        yield kept
+    finally:
+        _steps[:] = [m for m in _steps if m is not made]
+    for path in set(made) - {t._scratch for t in kept}:
+        discard(spark, path)
+    gc.collect()
+    spark._jvm.System.gc()
