@@ -6,12 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oriel.session import workers_see_package
+from oriel.session import scratch, workers_see_package
 
+#: Bits of ``monotonically_increasing_id`` below the partition's number.
+PARTITION_BITS = 33
 #: Text bytes worked on at once in a Python worker; bounds its memory whatever the Arrow batch holds.
 SLICE_BYTES = 4 << 20
 
@@ -85,3 +89,53 @@ def with_plain_names(docs: DataFrame, operator, *used: str) -> DataFrame:
     other = {c: f"_x{i}" for i, c in enumerate(docs.columns) if c not in used}
     out = operator(docs.toDF(*[other.get(c, c) for c in docs.columns]))
     return out.select(*[F.col(other.get(c, c)).alias(c) for c in docs.columns])
+
+
+def numbered(rows: DataFrame, number: str = "_row") -> DataFrame:
+    """``rows`` with a unique number; its high bits name the partition, for ``looked_up``. Write it before use."""
+    return rows.withColumn(number, F.monotonically_increasing_id())
+
+
+def looked_up(rows: DataFrame, found: DataFrame, into: str, number: str = "_row") -> DataFrame:
+    """``rows`` with the struct ``into`` of the other columns (longs) of ``found``, which has a row for some numbers; else null.
+
+    A join that leaves ``rows`` where they are, whatever the sizes: ``found`` is written by the high bits of
+    ``number``, one file for each partition that ``numbered`` saw, and a task loads the files of the partitions
+    that its rows came from. A file has at most a row for each row of its partition. Only the number goes to Python.
+    """
+    spark = rows.sparkSession
+    workers_see_package(spark)
+    path = scratch(spark, "lookup")
+    names = [c for c in found.columns if c != number]
+    placed = found.select(number, *[F.col(c).cast("long").alias(c) for c in names], F.shiftright(number, PARTITION_BITS).alias("part"))
+    placed.repartition("part").write.partitionBy("part").parquet(path)
+    kind = pa.struct([(c, pa.int64()) for c in names])
+
+    def load(part: int) -> pa.Table:
+        files, root = file_system(f"{path}/part={part}")
+        there = [f.path for f in files.get_file_info(pafs.FileSelector(root, allow_not_found=True)) if f.path.endswith(".parquet")]
+        return pa.concat_tables(pq.read_table(files.open_input_file(f), columns=[number, *names]) for f in there) if there else None
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        at, held = None, None
+        for column in columns:
+            out, start = [], 0
+            parts = column.to_numpy() >> PARTITION_BITS
+            for end in [*(np.flatnonzero(parts[1:] != parts[:-1]) + 1), len(parts)]:
+                if end == start:
+                    continue
+                if at != parts[start]:
+                    at = parts[start]
+                    held = load(int(at))
+                piece = column.slice(start, end - start)
+                if held is None:
+                    out.append(pa.nulls(len(piece), kind))
+                else:
+                    place = pc.index_in(piece, value_set=held[number])
+                    values = [held[c].take(place).combine_chunks() for c in names]
+                    out.append(pa.StructArray.from_arrays(values, fields=list(kind), mask=place.is_null()))
+                start = end
+            yield pa.concat_arrays(out) if out else pa.nulls(0, kind)
+
+    find = F.arrow_udf(run, "struct<" + ", ".join(f"{c}: long" for c in names) + ">").asNondeterministic()
+    return rows.withColumn(into, find(number))

@@ -2,8 +2,9 @@
 
 SimHash fingerprints of the sets and MinHash bands propose, an exact comparison of the sets decides. The covering masks
 of ``simhash`` find every pair within 3 bits; but at a similarity of 0.8 some 10 of 64 bits differ, and to cover those
-would take over a million masks, so the bands find the others. Texts that meet, directly or through others, form a cluster; every text goes to its cluster once (to each pair of blocks, where a cluster is large), and
-there all pairs that aren't joined yet are compared.
+would take over a million masks, so the bands find the others. Texts that meet, directly or through others, form a cluster; every text goes to its cluster
+once (to each pair of blocks, where a cluster is large), and there all pairs that aren't joined yet are compared. Clusters
+are dealt by ids and sizes alone; a text moves only if it has a cluster, however many others there are.
 """
 
 from __future__ import annotations
@@ -17,17 +18,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oriel.llm import simhash
-from oriel.llm.common import prepare, string_buffer
+from oriel.llm.common import looked_up, prepare, string_buffer
 from oriel.llm.components import connected
-from oriel.session import materialise
+from oriel.session import materialise, release
 
 WIDTH = 5
 #: Least similarity as a fraction: 4 of 5.
 LEAST = (4, 5)
 #: Hashes in a band, and bands: a pair exactly at 0.8 shares no band with a chance of (1 - 0.8 ** 5) ** 35, 1 in a million.
 ROWS, BANDS = 5, 35
-#: Texts, and characters of text, in a block of a cluster; larger clusters are compared as pairs of blocks.
-BLOCK, BLOCK_CHARS = 512, 8 << 20
+#: Texts, and bytes of text, in a block of a cluster; larger clusters are compared as pairs of blocks.
+BLOCK, BLOCK_BYTES = 512, 8 << 20
 #: Shingles hashed at once.
 PIECE = 512
 
@@ -77,7 +78,7 @@ def majority(members: np.ndarray) -> int:
 
 
 def sketches(rows: DataFrame, text: str, width: int = WIDTH) -> DataFrame:
-    """(row, same, fp, keys): ``same`` is equal for equal sets; texts without words have no keys. Nulls count as empty."""
+    """(row, same, fp, size, keys): ``same`` is equal for equal sets, size in bytes; texts without words have no keys. Nulls count as empty."""
     prepare(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,9 +92,9 @@ def sketches(rows: DataFrame, text: str, width: int = WIDTH) -> DataFrame:
                 keys.append(band_keys(members).view(np.int64) if len(members) else np.zeros(0, np.int64))
             offsets = np.append(0, np.cumsum([len(k) for k in keys])).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(fps, pa.int64()), lists], names=["row", "same", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(fps, pa.int64()), pa.array(np.diff(ends), pa.int64()), lists], names=["row", "same", "fp", "size", "keys"])
 
-    return rows.select("_row", F.col(text).cast("string")).mapInArrow(run, "row long, same binary, fp long, keys array<long>")
+    return rows.select("_row", F.col(text).cast("string")).mapInArrow(run, "row long, same binary, fp long, size long, keys array<long>")
 
 
 def close_sets(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -125,8 +126,17 @@ def close_sets(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> I
 
 def set_links(members: DataFrame, width: int = WIDTH) -> DataFrame:
     """Links (a, b) between the rows of (cluster, row, t): enough to join all pairs of similarity 0.8 or more in a cluster."""
-    sizes = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.length("t")) / BLOCK_CHARS)).cast("int").alias("parts"))
-    placed = members.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
+    return compared(members.join(blocks(members.select("cluster", F.octet_length("t").alias("size"))), "cluster"), width)
+
+
+def blocks(members: DataFrame) -> DataFrame:
+    """(cluster, parts): the blocks that the members (cluster, size) of each cluster are dealt to."""
+    return members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_BYTES)).cast("int").alias("parts"))
+
+
+def compared(members: DataFrame, width: int = WIDTH) -> DataFrame:
+    """``set_links`` of (cluster, row, parts, t)."""
+    placed = members.withColumn("own", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("cluster", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "row", "t")
     placed = placed.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi")
 
@@ -159,17 +169,23 @@ def set_links(members: DataFrame, width: int = WIDTH) -> DataFrame:
 def groups(rows: DataFrame, text: str = "text", width: int = WIDTH) -> DataFrame:
     """(row, component): for each ``_row`` of ``rows`` the smallest ``_row`` that its text is linked to, itself included.
 
-    Equal sets are one class, those of texts without words too; a class costs one row in the search.
+    ``rows`` is a written table of ``numbered``. Equal sets are one class, those of texts without words too; a class
+    costs one row in the search.
     """
     sketched = materialise(sketches(rows, text, width), "sketches")
-    classes = materialise(sketched.groupBy("same").agg(F.min("row").alias("id"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "classes")
+    classes = materialise(sketched.groupBy("same").agg(F.min("row").alias("id"), F.first("fp").alias("fp"), F.max("size").alias("size"), F.first("keys").alias("keys")), "classes")
     keyed = classes.select("id", F.explode("keys").alias("key"))
     heads = keyed.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
     prints = materialise(classes.where(F.size("keys") > 0).groupBy("fp").agg(F.min("id").alias("id"), F.count("*").alias("n")), "prints")
     equal = classes.where(F.size("keys") > 0).select("fp", F.col("id").alias("b")).join(prints.where("n > 1").select("fp", F.col("id").alias("a")), "fp").select("a", "b")
     met = keyed.join(heads, "key").select("a", F.col("id").alias("b")).union(equal).union(simhash.bucket_links(prints.select("fp", "id")))
-    clusters = materialise(connected(met), "clusters")
-    members = clusters.join(rows.select(F.col("_row").alias("node"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")), "node")
-    joined = connected(set_links(members.select(F.col("component").alias("cluster"), F.col("node").alias("row"), "t"), width))
+    clusters = connected(met).select(F.col("component").alias("cluster"), F.col("node").alias("id"))
+    sized = materialise(clusters.join(classes.select("id", "size"), "id"), "clusters")
+    dealt = sized.join(blocks(sized), "cluster").select(F.col("id").alias("_row"), "cluster", "parts")
+    members = looked_up(rows.select("_row", text), dealt, "at").where("at is not null")
+    members = members.select("at.cluster", F.col("_row").alias("row"), F.col("at.parts").cast("int").alias("parts"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
+    joined = connected(compared(members, width))
     of = classes.join(joined.select(F.col("node").alias("id"), "component"), "id", "left").select("same", F.coalesce("component", "id").alias("component"))
-    return sketched.join(of, "same").select("row", "component")
+    found = materialise(sketched.join(of, "same").select("row", "component"), "groups")
+    release(sketched, classes, prints, sized)
+    return found
