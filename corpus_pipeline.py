@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oriel.llm import idfile, jaccard, mixing, tiling, toxicity
-from oriel.llm.common import with_plain_names
+from oriel.llm.common import looked_up, numbered, with_plain_names
 from oriel.llm.queries import tokenizer_path
-from oriel.session import materialise, release, table, workers_see_package
+from oriel.session import materialise, release, step, table, workers_see_package
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,12 +30,12 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     workers_see_package(spark)
 
     def choose(docs: DataFrame) -> DataFrame:
-        rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+        rows = materialise(numbered(docs), "rows")
         order = F.struct(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("hash"), F.col("_row").alias("row"))
         placed = materialise(rows.where("doc_id is not null").select("_row", order.alias("o")).join(jaccard.groups(rows).withColumnRenamed("row", "_row"), "_row"), "placed")
         first = placed.groupBy("component").agg(F.min("o").alias("first"))
-        others = materialise(placed.join(first, "component").where("o.row <> first.row").select("_row"), "others")
-        return rows.join(others, "_row", "left_anti").drop("_row")
+        others = placed.join(first, "component").where("o.row <> first.row").select("_row", F.lit(1).alias("other"))
+        return looked_up(rows, others, "_other").where("_other is null").drop("_row", "_other")
 
     return with_plain_names(docs, choose, "doc_id", "text")
 
@@ -73,9 +73,14 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     done = None
-    for name, stage in STAGES:
-        docs, before = materialise(stage(spark, docs, sf_dir), f"stage-{name}"), done
+    for name, stage in STAGES[:-1]:
+        with step(spark) as kept:
+            docs, before = materialise(stage(spark, docs, sf_dir), f"stage-{name}"), done
+            kept.append(docs)
         if before is not None:
             release(before)
         done = docs
+    name, stage = STAGES[-1]  # its files of ids stay
+    docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+    release(done)
     return docs
