@@ -86,8 +86,11 @@ def link(g: EntityGraph, records: DataFrame, row_id: str, keys: list[str]) -> Da
             own = base.select("row_id", "ord", "key", F.lit(-1).cast("long").alias("n"), F.lit(None).cast("string").alias("entity_id"))
         else:
             pool = g.names.select("entity_id", F.col("value_norm").alias("v")) if k == "name" else g.codes.where(F.col("system") == k).select("entity_id", F.col("value_norm").alias("v"))
-            found = base.withColumn("v", squeeze(F.col("v"))).join(pool.distinct(), "v")
-            own = found.groupBy("row_id", "ord", "key").agg(F.count_distinct("entity_id").alias("n"), F.min("entity_id").alias("entity_id"))
+            # a value is one row with its first and last entity: that says none, one or several, and no row meets every entity of its value
+            ends = pool.groupBy("v").agg(F.min("entity_id").alias("lo"), F.max("entity_id").alias("hi"))
+            found = base.withColumn("v", squeeze(F.col("v"))).join(ends, "v")
+            lo, hi = F.min("lo"), F.max("hi")
+            own = found.groupBy("row_id", "ord", "key").agg(F.when(lo.isNull(), 0).when(lo == hi, 1).otherwise(2).cast("long").alias("n"), lo.alias("entity_id"))
         parts = own if parts is None else parts.union(own)
     first = parts.groupBy("row_id").agg(F.min(F.struct("ord", "key", "n", "entity_id")).alias("f")).select("row_id", "f.*")
     status = F.when(F.col("n") == -1, "invalid_key").when(F.col("n") == 1, "linked").when(F.col("n") > 1, "ambiguous").otherwise("no_match")
