@@ -39,3 +39,10 @@ def test_linking_on_a_name_of_many_entities(spark, g):  # noqa: F811
     # a row id with two values is ambiguous if they name two entities
     twice = spark.createDataFrame([(1, "World"), (1, "Xandria"), (2, "World"), (2, "world")], "row_id long, name string")
     assert {(r.row_id, r.status, r.entity_id) for r in linking.link(g, twice, "row_id", ["name"]).collect()} == {(1, "ambiguous", None), (2, "linked", "world/0")}
+
+
+def test_the_tally_of_a_name_of_many_entities(spark, g):  # noqa: F811
+    rows = spark.range(300).selectExpr("id as row_id", "case when id % 3 = 0 then 'Xandria' when id % 3 = 1 then 'nobody' else 'same name' end as name")
+    tally = linking.augment(crowd(spark, g, 200), rows, "row_id", ["name"])[1]
+    assert most_rows(tally) <= 2 * 300
+    assert {r.status: r.n for r in tally.collect()} == {"linked": 100, "skipped": 100, "ambiguous": 100}
