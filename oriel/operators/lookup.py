@@ -98,27 +98,32 @@ def bm25_score(rank: Column, steps: tuple[float, ...] = (0.85, 0.75, 0.65, 0.55,
     return F.when(rank == 1, steps[0]).when(rank <= 3, steps[1]).when(rank <= 10, steps[2]).when(rank <= 20, steps[3]).otherwise(steps[4])
 
 
-#: A name is a row for each of its beginnings up to so many characters; longer queries meet on that many.
-BEGINNING = 8
+def beginning(text: Column, n: Column | int) -> Column:
+    """A narrow key of a text's first ``n`` characters; what meets on it is compared in full."""
+    return F.xxhash64(F.substring(text, F.lit(1), n if isinstance(n, Column) else F.lit(n)))
 
 
-def beginnings(text: Column) -> Column:
-    """The text's first 1, 2, ... ``BEGINNING`` characters."""
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.lit(BEGINNING), F.length(text)))), lambda n: F.substring(text, F.lit(1), n))
+def by_beginning(names: DataFrame, column: str, queries: DataFrame, text: str) -> DataFrame:
+    """Queries with the ``names`` whose ``column`` starts with their text: an equality of whole beginnings.
+
+    A name is a row for each of its beginnings that is as long as some query, so that a query meets no name that
+    doesn't start with it. Lengths are one row, with a number for each length that occurs.
+    """
+    q = queries.where(F.length(text) > 0)
+    lengths = q.agg(F.sort_array(F.collect_set(F.length(text))).alias("_lengths"))
+    n = names.crossJoin(F.broadcast(lengths)).withColumn("_n", F.explode(F.filter("_lengths", lambda x: x <= F.length(column)))).withColumn("_b", beginning(F.col(column), F.col("_n"))).drop("_n", "_lengths")
+    return q.withColumn("_b", beginning(F.col(text), F.length(text))).join(n, "_b").where(F.col(column).startswith(F.col(text))).drop("_b")
 
 
 def prefix_join(names: DataFrame, queries: DataFrame, text: str = "norm") -> DataFrame:
-    """Names that start with a query's text: an equality of beginnings, so that short queries alone meet many names."""
-    n = names.withColumn("_b", F.explode(beginnings(F.col("value_norm"))))
-    q = queries.where(F.length(text) > 0).withColumn("_b", F.substring(text, 1, BEGINNING))
-    return q.join(n, "_b").where(F.col("value_norm").startswith(F.col(text))).drop("_b")
+    """Names that start with a query's text; short queries alone meet many names."""
+    return by_beginning(names, "value_norm", queries, text)
 
 
 def infix_join(names: DataFrame, queries: DataFrame, text: str = "norm") -> DataFrame:
     """Names with a later word that starts with a query's first word, and the query's text from there."""
     rows = names.select("*", F.posexplode(F.split("value_norm", " ")).alias("_at", "_w")).where("_at > 0").withColumn("_rest", F.expr("array_join(slice(split(value_norm, ' '), _at + 1, size(split(value_norm, ' '))), ' ')"))
-    q = queries.where(F.length(text) > 0).withColumn("_k", F.substring(text, 1, BEGINNING))
-    return q.join(rows.withColumn("_k", F.explode(beginnings(F.col("_rest")))), "_k").where(F.col("_rest").startswith(F.col(text))).drop("_k", "_at", "_w", "_rest")
+    return by_beginning(rows, "_rest", queries, text).drop("_at", "_w", "_rest")
 
 
 PREFIX, MOST_EDITS = 7, 2

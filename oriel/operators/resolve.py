@@ -212,9 +212,12 @@ def prefix_fallback(g: EntityGraph, q: DataFrame, pack: Pack, discount: float =
     Entities with a word that begins so, those with fewer words first, then by id, within budget.
     """
     heads = q.select("qid", F.rtrim(F.substring("norm", 1, 4)).alias("norm")).where("norm <> ''")
-    hits = lookup.prefix_join(g.names, heads).select("qid", "entity_id", "value_norm").union(lookup.infix_join(g.names, heads).select("qid", "entity_id", "value_norm"))
-    each = hits.groupBy("qid", "entity_id").agg(F.min(F.struct(F.size(F.split("value_norm", " ")).alias("n"), "value_norm")).alias("b")).select("qid", "entity_id", "b.n", F.col("b.value_norm").alias("matched"))
-    ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("n", "entity_id"))).where(F.col("rank") <= pack.budget)
+    # many texts begin alike: a beginning is looked up once
+    once = heads.select("norm").distinct()
+    hits = lookup.prefix_join(g.names, once).select("norm", "entity_id", "value_norm").union(lookup.infix_join(g.names, once).select("norm", "entity_id", "value_norm"))
+    each = hits.groupBy("norm", "entity_id").agg(F.min(F.struct(F.size(F.split("value_norm", " ")).alias("n"), "value_norm")).alias("b")).select("norm", "entity_id", "b.n", F.col("b.value_norm").alias("matched"))
+    best = each.withColumn("rank", F.row_number().over(Window.partitionBy("norm").orderBy("n", "entity_id"))).where(F.col("rank") <= pack.budget)
+    ranked = heads.join(best, "norm")
     return evidence(ranked, "symspell", 4, discount * lookup.bm25_score(F.col("rank"), pack.bm25_steps), "fts" if pack.name == "geo" else "fallback")
 
 

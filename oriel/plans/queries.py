@@ -153,8 +153,12 @@ def prefixes(spark, d):
 
 @query(sql("SELECT qid, text, count(*) AS n_names, count(DISTINCT entity_id) AS n_entities, min(entity_id) AS first_id FROM pre JOIN names ON starts_with(value_norm, norm) GROUP BY qid, text", PREFIXES))
 def j5_prefix(spark, d):
-    hits = lookup.prefix_join(graph(spark, d).names, prefixes(spark, d))
-    return hits.groupBy("qid", "text").agg(F.count("*").alias("n_names"), F.count_distinct("entity_id").alias("n_entities"), F.min("entity_id").alias("first_id"))
+    asked_ = prefixes(spark, d)
+    # many rows ask for one beginning: its names are counted once
+    hits = lookup.prefix_join(graph(spark, d).names.select("entity_id", "value_norm"), asked_.select("norm").distinct())
+    each = hits.groupBy("norm", "entity_id").agg(F.count("*").alias("n"))
+    counted = each.groupBy("norm").agg(F.sum("n").alias("n_names"), F.count("entity_id").alias("n_entities"), F.min("entity_id").alias("first_id"))
+    return asked_.join(counted, "norm").select("qid", "text", "n_names", "n_entities", "first_id")
 
 
 @query(sql("""SELECT DISTINCT w AS qid, entity_id, value_norm FROM (SELECT entity_id, value_norm, string_split(value_norm, ' ') AS ws FROM names) n

@@ -1,8 +1,10 @@
 """Rows that joins make on keys which repeat often: they grow with the input, not with its square."""
 
+import time
+
 from pyspark.sql import functions as F
 
-from oriel.operators import linking
+from oriel.operators import linking, lookup, resolve
 from tests.test_operators import g  # noqa: F401
 
 
@@ -46,3 +48,36 @@ def test_the_tally_of_a_name_of_many_entities(spark, g):  # noqa: F811
     tally = linking.augment(crowd(spark, g, 200), rows, "row_id", ["name"])[1]
     assert most_rows(tally) <= 2 * 300
     assert {r.status: r.n for r in tally.collect()} == {"linked": 100, "skipped": 100, "ambiguous": 100}
+
+
+def numbered_names(spark, n):
+    return spark.range(n).selectExpr("concat('e/', id) as entity_id", "concat('customer#', lpad(id, 6, '0'), ' of customer#', lpad(id, 6, '0')) as value_norm")
+
+
+def test_prefixes_longer_than_what_names_share(spark):
+    names = numbered_names(spark, 1000)
+    q = spark.range(100).selectExpr("concat('q', id) as qid", "concat('customer#', lpad(id, 5, '0')) as norm").union(spark.createDataFrame([("", ""), ("no", "customer#x"), ("all", "c"), ("null", None)], "qid string, norm string"))
+    starts = [(f"q{i}", f"e/{i * 10 + j}") for i in range(100) for j in range(10)] + [("all", f"e/{i}") for i in range(1000)]
+    for join in (lookup.prefix_join, lookup.infix_join):
+        hits = join(names, q)
+        assert most_rows(hits) <= 2000
+        assert sorted((r.qid, r.entity_id) for r in hits.collect()) == sorted(starts)
+
+
+def test_beginnings_that_many_texts_share(spark, g):  # noqa: F811
+    names = crowd(spark, g, 100)
+    q = spark.range(100).selectExpr("id as qid", "concat('same', id) as norm")
+    out = resolve.prefix_fallback(names, q, resolve.CUSTOM)
+    assert most_rows(out) <= 100 * resolve.CUSTOM.budget
+    got = {(r.qid, r.rank): r.entity_id for r in out.collect()}
+    ids = sorted(f"custom/{i}" for i in range(100))[: resolve.CUSTOM.budget]
+    assert got == {(i, k + 1): e for i in range(100) for k, e in enumerate(ids)}
+
+
+def test_long_prefixes_meet_no_name_that_only_begins_alike(spark):
+    """1.6 billion pairs share eight characters; 40,000 share all of a query."""
+    began = time.time()
+    q = spark.range(40_000).selectExpr("id as qid", "concat('customer#', lpad(id, 6, '0'), ' ') as norm")
+    for join in (lookup.prefix_join, lookup.infix_join):
+        assert join(numbered_names(spark, 40_000), q).count() == (40_000 if join is lookup.prefix_join else 0)
+    assert time.time() - began < 20
