@@ -81,3 +81,19 @@ def test_long_prefixes_meet_no_name_that_only_begins_alike(spark):
     for join in (lookup.prefix_join, lookup.infix_join):
         assert join(numbered_names(spark, 40_000), q).count() == (40_000 if join is lookup.prefix_join else 0)
     assert time.time() - began < 20
+
+
+def test_corrections_of_texts_and_names_that_repeat(spark, g):  # noqa: F811
+    """A name of 200 entities and 300 equal texts; of the entities the first by id count, each by the least of its close names."""
+    more = spark.createDataFrame([("custom/199", "Samd Namex"), ("custom/0", "Sam Name"), ("custom/0", "SAM NAME")], "entity_id string, value string").selectExpr("entity_id", "'alias' as name_kind", "value", "lower(value) as value_norm", "'en' as lang", "'' as script", "false as is_preferred")
+    one = crowd(spark, g, 200)
+    every = one.with_tables(names=one.names.unionByName(more), entities=g.entities.unionByName(spark.range(200).selectExpr("concat('custom/', id) as entity_id", "'custom' as entity_type", "'Same Name' as canonical_name"), allowMissingColumns=True))
+    q = spark.range(300).selectExpr("id as qid", "case when id < 299 then 'samd name' else 'samd namee' end as text").withColumn("norm", F.col("text"))
+    out = resolve.corrections(every, q, resolve.CUSTOM)
+    assert most_rows(out) <= 300 * resolve.CUSTOM.budget
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.qid, []).append((r.rank, r.entity_id, r.edit_distance, r.matched))
+    ids = sorted(f"custom/{i}" for i in range(200))[:20]
+    want = [(k + 1, e, 1, "SAM NAME" if e == "custom/0" else "Same Name") for k, e in enumerate(ids)]
+    assert all(sorted(got[i]) == want for i in range(299)) and got[299] == [(1, "custom/199", 1, "Samd Namex")]
