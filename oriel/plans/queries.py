@@ -12,7 +12,7 @@ from oriel.functions import scoring, text
 from oriel.operators import closure, constraints, etl, linking, lookup, metrics, parse, suggest
 from oriel.operators import resolve as cascade
 from oriel.plans.oracle_graph import squeeze, sql
-from oriel.session import materialise, table, workers_see_package
+from oriel.session import honest_sizes, materialise, table, workers_see_package
 from oriel.sources import graph as graphs
 from oriel.sources.graph import EntityGraph
 
@@ -36,6 +36,7 @@ _stored: dict[tuple[str, str], EntityGraph] = {}
 
 def graph(spark: SparkSession, sf_dir: str) -> EntityGraph:
     """The graph of a data folder, derived once per application and stored as tables in the shared folder."""
+    honest_sizes(spark)
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stored:
         _stored.clear()

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from oriel.functions.text import squeeze
-from oriel.session import table
+from oriel.session import honest_sizes, table
 
 ENTITY = ["entity_id", "entity_type", "canonical_name", "canonical_name_norm", "valid_from", "valid_until", "prominence", "country_code"]
 NAME = ["entity_id", "name_kind", "value", "value_norm", "lang", "script", "is_preferred"]
@@ -51,6 +51,7 @@ class EntityGraph:
     @staticmethod
     def read(spark: SparkSession, path: str) -> EntityGraph:
         """Tables without newer columns (script, validity, prominence) get them as defaults."""
+        honest_sizes(spark)
         need = {"entities": ENTITY, "names": NAME, "codes": CODE, "relations": RELATION}
         default = {"lang": F.lit(""), "script": F.lit(""), "is_preferred": F.lit(False)}
         kinds = {"valid_from": "date", "valid_until": "date", "prominence": "double"}

@@ -5,6 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from oriel.operators import linking, lookup, resolve
+from oriel.sources.graph import EntityGraph
 from tests.test_operators import g  # noqa: F401
 
 
@@ -97,3 +98,14 @@ def test_corrections_of_texts_and_names_that_repeat(spark, g):  # noqa: F811
     ids = sorted(f"custom/{i}" for i in range(200))[:20]
     want = [(k + 1, e, 1, "SAM NAME" if e == "custom/0" else "Same Name") for k, e in enumerate(ids)]
     assert all(sorted(got[i]) == want for i in range(299)) and got[299] == [(1, "custom/199", 1, "Samd Namex")]
+
+
+def test_ids_that_a_file_packs_small_are_not_broadcast(spark, g, tmp_path):  # noqa: F811
+    """Half a million ids: some MB in a file, far more as a hash table in each task."""
+    ids = spark.range(500_000).selectExpr("concat('org/cust-', id) as entity_id", "'org.company' as entity_type")
+    g.with_tables(entities=g.entities.unionByName(ids, allowMissingColumns=True)).write(f"file://{tmp_path}/g")
+    read = EntityGraph.read(spark, f"file://{tmp_path}/g")
+    joined = lookup.iter_names(read.with_tables(names=read.entities.select("entity_id", *[F.col("entity_id").alias(c) for c in ("value_norm", "name_kind", "is_preferred", "value")])))
+    assert "Broadcast" not in joined._jdf.queryExecution().sparkPlan().toString()
+    few = read.entities.join(read.codes.select("entity_id"), "entity_id", "left_semi")
+    assert "BroadcastHashJoin" in few._jdf.queryExecution().sparkPlan().toString()
