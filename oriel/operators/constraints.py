@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from oriel.operators.closure import ancestors
 from oriel.operators.lookup import active
+from oriel.session import materialise
 from oriel.sources.graph import EntityGraph
 
 COMPATIBLE = {
@@ -80,6 +81,6 @@ def drop_noise(g: EntityGraph, id_like: list[str], name_like: list[str]) -> Enti
         noisy = noisy | F.col("entity_id").like(p)
     for p in name_like:
         noisy = noisy | F.col("canonical_name").like(p)
-    gone = g.entities.where(noisy).select("entity_id")
+    gone = materialise(g.entities.where(noisy).select("entity_id"), "noise")  # written, its size is known: a few ids move no other table
     out = g.map(lambda _, t: t.join(gone, "entity_id", "left_anti"))
     return out.with_tables(relations=out.relations.join(gone.select(F.col("entity_id").alias("target_id")), "target_id", "left_anti").select(*g.relations.columns))
