@@ -43,7 +43,8 @@ def lookup_code(g: EntityGraph, queries: DataFrame, systems: list[str] | None =
 def lookup_name(g: EntityGraph, queries: DataFrame, kinds: list[str] | None = None, text: str = "norm") -> DataFrame:
     """(…, entity_id, name_kind) of equal normal names, distinct."""
     names = g.names.where(F.col("name_kind").isin(kinds)) if kinds else g.names
-    return queries.join(names.select("entity_id", "name_kind", F.col("value_norm").alias("key")), F.col(text) == F.col("key")).drop("key").distinct()
+    # both sides are distinct before they meet, and so is what they make: pairs, which may be many, aren't gathered again
+    return queries.distinct().join(names.select("entity_id", "name_kind", F.col("value_norm").alias("key")).distinct(), F.col(text) == F.col("key")).drop("key")
 
 
 def active(as_of: Column | None, since: str = "valid_from", until: str = "valid_until") -> Column:

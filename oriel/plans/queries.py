@@ -319,7 +319,8 @@ HITS = "hits AS (SELECT DISTINCT qid, entity_id FROM asked JOIN codes ON lower(t
 def hits(spark, d, g=None):
     g = g or graph(spark, d)
     q = normal(asked(spark, d))
-    return lookup.lookup_code(g, q).select("qid", "entity_id").union(lookup.lookup_name(g, q).select("qid", "entity_id")).distinct()
+    both = lookup.lookup_code(g, q).select("qid", "entity_id").union(lookup.lookup_name(g, q).select("qid", "entity_id"))
+    return both.repartition("qid").distinct()  # dealt out first: pairs hardly repeat, and a task would hold all that it reads
 
 
 @query(sql("SELECT qid, entity_id, true AS type_pass FROM hits JOIN entities USING (entity_id) WHERE entity_type IN ('geo.region', 'geo.organization', 'org.company')", NORM, HITS))

@@ -109,3 +109,12 @@ def test_ids_that_a_file_packs_small_are_not_broadcast(spark, g, tmp_path):  # n
     assert "Broadcast" not in joined._jdf.queryExecution().sparkPlan().toString()
     few = read.entities.join(read.codes.select("entity_id"), "entity_id", "left_semi")
     assert "BroadcastHashJoin" in few._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_pairs_of_texts_and_names_are_distinct_without_being_gathered(spark, g):  # noqa: F811
+    q = spark.createDataFrame([(1, "xandria"), (1, "xandria"), (2, "ypres land"), (3, "none"), (4, None)], "qid long, norm string")
+    names = g.names.union(g.names)
+    out = lookup.lookup_name(g.with_tables(names=names), q)
+    assert sorted((r.qid, r.entity_id) for r in out.collect()) == [(1, "country/x"), (2, "country/y"), (2, "country/z")]
+    top = out._jdf.queryExecution().optimizedPlan()
+    assert top.nodeName() != "Aggregate"
